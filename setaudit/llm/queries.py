@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from setaudit.llm import survivors
+from setaudit.llm import leakage, survivors, tokenize
 from setaudit.session import table
 
 
@@ -16,7 +16,20 @@ def p2_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return survivors.surviving_records(table(spark, sf_dir, "inventory"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_records)}
+def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenize.encode(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+def p7_stretches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every verified stretch, those with a few edits included."""
+    return leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_records, p6_ids, p7_found, p7_stretches)}
 
 _GROUPS = """
 WITH r AS (
