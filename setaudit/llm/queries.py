@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from setaudit.llm import leakage, survivors, tokenize
+from setaudit.llm import leakage, survivors, tokenize, truncation
 from setaudit.session import table
 
 
@@ -29,7 +29,15 @@ def p7_stretches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_records, p6_ids, p7_found, p7_stretches)}
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation.truncated(table(spark, sf_dir, "documents"))
+
+
+def p8_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation.truncation_by_source(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_records, p6_ids, p7_found, p7_stretches, p8_found, p8_sources)}
 
 _GROUPS = """
 WITH r AS (
