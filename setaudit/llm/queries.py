@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from setaudit.llm import leakage, survivors, tokenize, truncation
+from setaudit.llm import leakage, spellings, survivors, tokenize, truncation
 from setaudit.session import table
 
 
@@ -16,6 +16,10 @@ def p2_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return survivors.surviving_records(table(spark, sf_dir, "inventory"))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spellings.same_names(table(spark, sf_dir, "nointro_games"), "manufacturer").toDF("manufacturer_a", "manufacturer_b")
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenize.encode(table(spark, sf_dir, "documents"), "doc_id", "text")
 
@@ -37,7 +41,7 @@ def p8_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncation.truncation_by_source(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_records, p6_ids, p7_found, p7_stretches, p8_found, p8_sources)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_records, p3_found, p6_ids, p7_found, p7_stretches, p8_found, p8_sources)}
 
 _GROUPS = """
 WITH r AS (

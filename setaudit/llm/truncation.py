@@ -6,7 +6,8 @@ ends behind it. The final trigram of each text, taken before any mark of omissio
 cut where its final trigram is frequent inside texts but almost never ends. Where that trigram is too rare to tell, its
 last two words are asked, then its first two (how often does anything end one word later). A last word that is rare
 behind its two words but begins a frequent continuation of them, or that no text has inside but which begins a very
-frequent word, is a piece of that word. Where many texts of a source share its greatest length, that is a field limit,
+frequent word, is a piece of that word. A text that ends in
+a replacement character lost the bytes behind it. Where many texts of a source share its greatest length, that is a field limit,
 and a text of that length is cut unless a sentence ends there.
 """
 
@@ -18,6 +19,7 @@ from setaudit.session import cut
 
 # What ends a sentence or line, a sentence only; marks of omission and strays that may follow a cut; words; checksums, whole or
 # broken off at the end of a text.
+LOST = r"\x{FFFD}\s*$"
 STOPS = r"^([.!?。！？…)\]}\"”»*]|[^\p{L}\p{M}\p{N}\p{P}\s])"
 FULL = r"^[.!?。！？…]"
 OMISSION = r"(\s|\[(\.\.\.|…)\]|\((\.\.\.|…)\)|\.\.\.+|…|\x{FFFD}|[\\|¶\x00-\x1f])+$"
@@ -31,12 +33,12 @@ def _q(x: str) -> str:
 
 SHAPED = f"""
 WITH d AS (
-  SELECT id, source, n, md5(text) AS same, regexp_replace(text, {_q(OMISSION)}, '') AS body FROM texts WHERE text IS NOT NULL),
+  SELECT id, source, n, md5(text) AS same, regexp_like(text, {_q(LOST)}) AS broken, regexp_replace(text, {_q(OMISSION)}, '') AS body FROM texts WHERE text IS NOT NULL),
 raw AS (SELECT *, regexp_extract_all(regexp_replace(body, {_q(SUM)}, '88888888'), {_q(TOKEN)}, 0) AS w0 FROM d),
 short AS (
-  SELECT id, source, n, same, concat(array('^', '^'), transform(w0, x -> CASE WHEN x RLIKE r'^\\n' THEN '/' WHEN x = '88888888' THEN '8' WHEN x RLIKE r'^\\p{{N}}' THEN '0' ELSE x END)) AS w
+  SELECT id, source, n, same, broken, concat(array('^', '^'), transform(w0, x -> CASE WHEN x RLIKE r'^\\n' THEN '/' WHEN x = '88888888' THEN '8' WHEN x RLIKE r'^\\p{{N}}' THEN '0' ELSE x END)) AS w
   FROM raw WHERE size(w0) > 0)
-SELECT id, source, n, same, w, transform(w, (x, i) -> CASE
+SELECT id, source, n, same, broken, w, transform(w, (x, i) -> CASE
     WHEN x RLIKE r'^\\p{{Lu}}\\p{{Lu}}+$' THEN 'XX' WHEN x RLIKE r'^\\p{{Lu}}' AND NOT (i < 3 OR w[i - 1] = '/' OR w[i - 1] RLIKE {_q(FULL)}) THEN 'Xx' ELSE x END) AS t FROM short
 """
 
@@ -54,7 +56,7 @@ FROM g GROUP BY g.three, g.pair, g.two, g.word
 
 DECISION = f"""
 WITH last AS (
-  SELECT id, source, n, same, element_at(w, -1) AS word, element_at(t, -1) AS shape, size(t) > 9 AS long,
+  SELECT id, source, n, same, broken, element_at(w, -1) AS word, element_at(t, -1) AS shape, size(t) > 9 AS long,
          xxhash64(element_at(t, -3), element_at(t, -2), element_at(t, -1)) AS three, xxhash64(element_at(t, -2), element_at(t, -1)) AS pair, xxhash64(element_at(t, -3), element_at(t, -2)) AS two
   FROM shaped),
 c3 AS (SELECT three, sum(inside) AS n3, sum(ends) AS s3, sum(final) AS f3 FROM counts GROUP BY three),
@@ -79,7 +81,7 @@ limits AS (
 told AS (
   SELECT l.id, l.source, l.word, l.shape, coalesce(n3, 0) + f3 - 1 AS a3, coalesce(s3, 0) + f3 - 1 AS e3, coalesce(np, 0) + fp - 1 AS ap, coalesce(sp, 0) + fp - 1 AS ep,
          coalesce(n2, 0) + f2 - 1 AS a2, coalesce(s2, 0) + f2 - 1 AS e2, coalesce(h.inside, 0) AS word_here, coalesce(p.whole, 0) AS piece_here,
-         coalesce(nw, 0) AS word_ever, coalesce(begins, 0) AS piece_ever, k.n IS NOT NULL AS at_limit, l.shape RLIKE {_q(STOPS)} AS stopped, l.shape RLIKE {_q(FULL)} AS full, l.long AS long
+         coalesce(nw, 0) AS word_ever, coalesce(begins, 0) AS piece_ever, k.n IS NOT NULL AS at_limit, l.shape RLIKE {_q(STOPS)} AS stopped, l.shape RLIKE {_q(FULL)} AS full, l.long AS long, l.broken
   FROM last l
   LEFT JOIN c3 ON l.three = c3.three LEFT JOIN cp ON l.pair = cp.pair LEFT JOIN c2 ON l.two = c2.two
   LEFT JOIN here h ON l.two = h.two AND l.word = h.word LEFT JOIN pieces p ON l.two = p.two AND l.word = p.word
@@ -87,7 +89,9 @@ told AS (
   LEFT JOIN limits k ON l.source = k.source AND l.n = k.n)
 SELECT id, source, CASE
     WHEN at_limit AND NOT stopped THEN 'limit'
-    WHEN full OR NOT long THEN NULL
+    WHEN full THEN NULL
+    WHEN broken THEN 'word'
+    WHEN NOT long THEN NULL
     WHEN a3 >= {{support}} AND e3 <= {{rate}} * a3 THEN 'sentence'
     WHEN NOT stopped AND piece_here > 0 AND word_here <= {{rate}} * piece_here AND (a3 < {{support}} OR e3 < 0.5 * a3) THEN 'word'
     WHEN NOT stopped AND word_ever = 0 AND piece_ever > 0 AND (a3 < {{support}} OR e3 < 0.5 * a3) THEN 'word'
