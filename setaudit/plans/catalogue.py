@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from setaudit.plans import training
+from setaudit.plans import audit, training
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {**training.QUERIES}
+    return {**audit.QUERIES, **training.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**training.SQL}
+    return {**audit.SQL, **training.SQL}
