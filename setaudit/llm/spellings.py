@@ -145,13 +145,16 @@ def weighted(names: DataFrame, sizes: tuple[int, ...], power: float, share: floa
     return raw.where("raw > 0").withColumn("rest", rest).withColumn("weight", F.col("raw") / norm).select("id", "gram", "weight", "rest")
 
 
-def cosine_links(vectors: DataFrame, least: float, top_n: int | None = None) -> DataFrame:
+def cosine_links(vectors: DataFrame, least: float, top_n: int | None = None, tail: float = 0.2) -> DataFrame:
     """(a, b, sim): every pair a < b of cosine `least` or more; with `top_n`, only each side's that many best.
 
-    Only grams whose `rest` reaches `least` are joined: two vectors that share none of those have a smaller product.
+    Grams are ordered from rare to common, the same for all. Of each vector the part before its `tail` (the common grams
+    whose norm is below it) is joined, adding up products. What the pair has beyond both heads lies in the tail of one
+    of them and adds less than `tail`, so pairs whose sum is below `least - tail` are dropped before the exact product.
     """
-    heads = vectors.where(F.col("rest") >= least).select("id", "gram")
-    found = heads.withColumnRenamed("id", "a").join(heads.withColumnRenamed("id", "b"), "gram").where("a < b").select("a", "b").distinct()
+    heads = vectors.where(F.col("rest") >= tail).select("id", "gram", "weight")
+    left, right = heads.toDF("a", "gram", "x"), heads.toDF("b", "gram", "y")
+    found = left.join(right, "gram").where("a < b").groupBy("a", "b").agg(F.sum(F.col("x") * F.col("y")).alias("part")).where(F.col("part") >= least - tail).select("a", "b")
     lists = vectors.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("gram", "weight"))).alias("v"))
     both = found.join(lists.select(F.col("id").alias("a"), F.col("v").alias("va")), "a").join(lists.select(F.col("id").alias("b"), F.col("v").alias("vb")), "b")
     product = F.aggregate(F.map_entries("va"), F.lit(0.0), lambda s, e: s + e.value * F.coalesce(F.element_at("vb", e.key), F.lit(0.0)))
