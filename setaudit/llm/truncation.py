@@ -54,11 +54,15 @@ SELECT g.three, g.pair, g.two, g.word, count(g.ends) AS inside, coalesce(sum(g.e
 FROM g GROUP BY g.three, g.pair, g.two, g.word
 """
 
+# The final trigram of each text.
+FINALS = """
+SELECT id, source, n, same, broken, element_at(w, -1) AS word, element_at(t, -1) AS shape, size(t) > 9 AS long,
+       xxhash64(element_at(t, -3), element_at(t, -2), element_at(t, -1)) AS three, xxhash64(element_at(t, -2), element_at(t, -1)) AS pair, xxhash64(element_at(t, -3), element_at(t, -2)) AS two
+FROM shaped
+"""
+
 DECISION = f"""
-WITH last AS (
-  SELECT id, source, n, same, broken, element_at(w, -1) AS word, element_at(t, -1) AS shape, size(t) > 9 AS long,
-         xxhash64(element_at(t, -3), element_at(t, -2), element_at(t, -1)) AS three, xxhash64(element_at(t, -2), element_at(t, -1)) AS pair, xxhash64(element_at(t, -3), element_at(t, -2)) AS two
-  FROM shaped),
+WITH
 c3 AS (SELECT three, sum(inside) AS n3, sum(ends) AS s3, sum(final) AS f3 FROM counts GROUP BY three),
 cp AS (SELECT pair, sum(inside) AS np, sum(ends) AS sp, sum(final) AS fp FROM counts GROUP BY pair),
 c2 AS (SELECT two, sum(inside) AS n2, sum(ends) AS s2, sum(final) AS f2 FROM counts GROUP BY two),
@@ -71,18 +75,18 @@ pieces AS (
 words AS (SELECT word, sum(inside) AS nw FROM counts WHERE word RLIKE r'^\\p{{L}}' GROUP BY word),
 starts AS (
   SELECT piece AS word, sum(nw) AS begins
-  FROM (SELECT nw, explode(transform(sequence(1, char_length(word) - 1), i -> substring(word, 1, i))) AS piece FROM words WHERE char_length(word) > 1 AND nw >= 0.02 * (SELECT count(*) FROM shaped))
+  FROM (SELECT nw, explode(transform(sequence(1, char_length(word) - 1), i -> substring(word, 1, i))) AS piece FROM words WHERE char_length(word) > 1 AND nw >= 0.02 * (SELECT count(*) FROM finals))
   GROUP BY piece),
 -- field limits: the greatest length of a source, where at least 2 in 100 of its texts, and three different ones, have it
-most AS (SELECT source, max(n) AS n, count(*) AS k FROM shaped GROUP BY source),
+most AS (SELECT source, max(n) AS n, count(*) AS k FROM finals GROUP BY source),
 limits AS (
-  SELECT m.source, m.n FROM most m JOIN shaped s ON s.source = m.source AND s.n = m.n
+  SELECT m.source, m.n FROM most m JOIN finals s ON s.source = m.source AND s.n = m.n
   GROUP BY m.source, m.n, m.k HAVING count(DISTINCT s.same) >= 3 AND count(*) >= 0.02 * m.k),
 told AS (
   SELECT l.id, l.source, l.word, l.shape, coalesce(n3, 0) + f3 - 1 AS a3, coalesce(s3, 0) + f3 - 1 AS e3, coalesce(np, 0) + fp - 1 AS ap, coalesce(sp, 0) + fp - 1 AS ep,
          coalesce(n2, 0) + f2 - 1 AS a2, coalesce(s2, 0) + f2 - 1 AS e2, coalesce(h.inside, 0) AS word_here, coalesce(p.whole, 0) AS piece_here,
          coalesce(nw, 0) AS word_ever, coalesce(begins, 0) AS piece_ever, k.n IS NOT NULL AS at_limit, l.shape RLIKE {_q(STOPS)} AS stopped, l.shape RLIKE {_q(FULL)} AS full, l.long AS long, l.broken
-  FROM last l
+  FROM finals l
   LEFT JOIN c3 ON l.three = c3.three LEFT JOIN cp ON l.pair = cp.pair LEFT JOIN c2 ON l.two = c2.two
   LEFT JOIN here h ON l.two = h.two AND l.word = h.word LEFT JOIN pieces p ON l.two = p.two AND l.word = p.word
   LEFT JOIN words v ON l.word = v.word LEFT JOIN starts b ON l.word = b.word
@@ -115,6 +119,7 @@ def judged(documents: DataFrame, key: str = "doc_id", text: str = "text", source
     documents.selectExpr(f"`{key}` AS id", f"`{text}` AS text", f"`{source}` AS source", f"char_length(`{text}`) AS n").createOrReplaceTempView("texts")
     spark.sql(SHAPED).createOrReplaceTempView("shaped")
     cut(spark.sql(COUNTS)).createOrReplaceTempView("counts")
+    cut(spark.sql(FINALS)).createOrReplaceTempView("finals")
     return spark.sql(DECISION.replace("{support}", str(support)).replace("{rate}", str(rate))).withColumnRenamed("id", key)
 
 
