@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from setaudit.functions import names
 from setaudit.operators import audit, graph, rebuild
 from setaudit.session import table
+from setaudit.sinks import documents
+from setaudit.streaming import progress
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -498,3 +500,18 @@ def names_not_held(t: Tables) -> DataFrame:
 def names_to_rebuild(t: Tables) -> DataFrame:
     st = t.status()
     return st.where("status = 'incomplete'").select("set_name").union(st.where("status = 'missing'").select("set_name")).distinct()
+
+
+# ---- sinks and streams ----------------------------------------------------------------------------------------------
+
+_X = "replace(replace(replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&apos;')"
+
+
+@query("SELECT i.set_name, '  <game name=\"' || " + _X.format("i.set_name") + " || '\"' || coalesce(' cloneof=\"' || " + _X.format("s.clone_of") + " || '\"', '') || '>' || chr(10) || '    <description>' || " + _X.format("s.description") + " || '</description>' || chr(10) || string_agg('    <rom name=\"' || " + _X.format("name") + " || '\" size=\"' || size || '\"' || coalesce(' crc=\"' || crc32 || '\"', '') || coalesce(' sha1=\"' || sha1 || '\"', '') || ' status=\"' || status || '\"/>', chr(10) ORDER BY name, size) || chr(10) || '  </game>' AS xml FROM found i JOIN sets s ON i.set_name = s.set_name WHERE NOT have GROUP BY i.set_name, s.clone_of, s.description")
+def fixdat(t: Tables) -> DataFrame:
+    return documents.fixdat_games(t.sets, t.found.where("NOT have"))
+
+
+@query("SELECT time_bucket(INTERVAL '1 hour', ts) AS start, event_type, count(*) AS n, sum(value) AS total FROM events GROUP BY ALL", base=False)
+def event_progress(t: Tables) -> DataFrame:
+    return progress.progress(t.raw("events"))
