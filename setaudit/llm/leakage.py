@@ -5,7 +5,7 @@ repeats a piece of an item with at most k edits shares at least L - q + 1 - k*q
 within k diagonals (place in the text minus place in the item). So each text's q-grams are looked up in the items'
 q-grams, hits are counted per item in overlapping bands of diagonals, bands under the bound are dropped, and the others
 are verified by an alignment inside the band. The items are a stated set of queries: they are broadcast in blocks of a
-bounded size, and every text passes every block; nothing is shuffled.
+bounded size, and every text passes every block.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from setaudit.session import spread
+
 WORD = re.compile(r"[^\W_]+")
 BASE = 0x9E3779B97F4A7C15 | 1
 BITS = 22
@@ -212,7 +214,7 @@ def leaks(
             size = 0
         blocks[-1].append(r)
         size += len(r[2])
-    docs = documents.select(F.col(key).alias("key"), F.col(text).alias("text")).where(F.length("text") > 0)
+    docs = spread(documents.select(F.col(key).alias("key"), F.col(text).alias("text")).where(F.length("text") > 0))
     kind = documents.schema[key].dataType.simpleString()
     out = None
     for block in blocks:

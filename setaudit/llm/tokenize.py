@@ -19,6 +19,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from setaudit.session import spread
+
 DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 # Fixed value: the pattern by which this vocabulary splits a text into pieces before merging.
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -141,7 +143,7 @@ def encode(df: DataFrame, key: str, text: str, vocabulary: str = DEFAULT_VOCABUL
     """(key, ids): the token ids of each row's whole text, an empty list for a null or empty text; one row per input row.
 
     No special tokens are made: text that looks like one is encoded as ordinary text. `vocabulary` is a path on the
-    driver; the file, of a fixed size, is sent to the executors by broadcast. Nothing is shuffled. Repeated rows stay
+    driver; the file, of a fixed size, is sent to the executors by broadcast. Texts are shuffled only if they arrive in fewer splits than there are cores. Repeated rows stay
     repeated; null keys are kept; other columns are not read.
     """
     spark = df.sparkSession
@@ -157,4 +159,4 @@ def encode(df: DataFrame, key: str, text: str, vocabulary: str = DEFAULT_VOCABUL
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, end - begin), pa.array(ids, pa.list_(pa.int32()))], names=["key", "ids"])
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, ids array<int>").withColumnRenamed("key", key)
+    return spread(df.select(F.col(key).alias("key"), F.col(text).alias("text"))).mapInArrow(run, f"key {kind}, ids array<int>").withColumnRenamed("key", key)

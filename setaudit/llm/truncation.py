@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from setaudit.session import cut
+from setaudit.session import cut, spread
 
 # What ends a sentence or line, a sentence only; marks of omission and strays that may follow a cut; words; checksums, whole or
 # broken off at the end of a text.
@@ -116,7 +116,7 @@ def judged(documents: DataFrame, key: str = "doc_id", text: str = "text", source
     counts by trigram, pair or word, aggregated within each partition first.
     """
     spark = documents.sparkSession
-    documents.selectExpr(f"`{key}` AS id", f"`{text}` AS text", f"`{source}` AS source", f"char_length(`{text}`) AS n").createOrReplaceTempView("texts")
+    spread(documents.selectExpr(f"`{key}` AS id", f"`{text}` AS text", f"`{source}` AS source", f"char_length(`{text}`) AS n")).createOrReplaceTempView("texts")
     spark.sql(SHAPED).createOrReplaceTempView("shaped")
     cut(spark.sql(COUNTS)).createOrReplaceTempView("counts")
     cut(spark.sql(FINALS)).createOrReplaceTempView("finals")
