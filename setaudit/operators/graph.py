@@ -17,20 +17,27 @@ def edges(sets: DataFrame) -> DataFrame:
     return bios.unionAll(device).unionAll(parent).distinct()
 
 
-def closure(links: DataFrame, depth: int = 50) -> DataFrame:
+def closure(links: DataFrame, depth: int = 64, stride: int = 4) -> DataFrame:
     """(root, node, depth): every node reachable from a root, with its least depth; the root itself is not listed.
 
-    A frontier grows one step per round and keeps only new pairs, so cycles end and dangling ends stay listed. Each
-    round's pairs go to the checkpoint folder: the plan does not grow and a lost executor costs no recomputation.
+    The first `stride` rounds go one step each; from then on a round joins the pairs of the outermost depth with all
+    pairs found so near, and so goes `stride` steps. Each round keeps only new pairs, so cycles end and dangling ends stay
+    listed. Its pairs go to the checkpoint folder: the plan does not grow and a lost executor costs no recomputation.
     """
-    step = links.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct()
-    seen = frontier = cut(step.where("src <> dst").select(F.col("src").alias("root"), F.col("dst").alias("node"), F.lit(1).alias("depth")))
-    for d in range(2, depth + 1):
-        grown = frontier.join(step, frontier.node == step.src).select("root", F.col("dst").alias("node"), F.lit(d).alias("depth")).where("root <> node").distinct()
-        frontier = cut(grown.join(seen, ["root", "node"], "left_anti"))
-        if not frontier.limit(1).count():
+    step = cut(links.select(F.col("src").alias("root"), F.col("dst").alias("node")).where("root <> node").distinct().withColumn("depth", F.lit(1)))
+    seen = frontier = near = step
+    at, hop = 1, 1
+    while at < depth:
+        ahead = near.select(F.col("root").alias("node"), F.col("node").alias("next"), F.col("depth").alias("more"))
+        grown = frontier.join(ahead, "node").where("root <> next").groupBy("root", F.col("next").alias("node")).agg((F.min("more") + at).alias("depth"))
+        new = cut(grown.join(seen, ["root", "node"], "left_anti"))
+        at += hop
+        frontier = new.where(F.col("depth") == at)
+        if not new.limit(1).count():
             break
-        seen = seen.unionAll(frontier)
+        seen = seen.unionAll(new)
+        if at == stride:
+            near, hop = seen, stride
     return seen
 
 
