@@ -42,16 +42,16 @@ SELECT id, source, n, same, broken, w, transform(w, (x, i) -> CASE
     WHEN x RLIKE r'^\\p{{Lu}}\\p{{Lu}}+$' THEN 'XX' WHEN x RLIKE r'^\\p{{Lu}}' AND NOT (i < 3 OR w[i - 1] = '/' OR w[i - 1] RLIKE {_q(FULL)}) THEN 'Xx' ELSE x END) AS t FROM short
 """
 
-# Every trigram inside or at the end of a text, with its last word as written: where it stands inside, how often it ends
-# a sentence or line there, and how often a text.
+# Every trigram inside a text, with its last word as written: how often it stands there, and how often it ends a sentence
+# or line there.
 COUNTS = f"""
 WITH g AS (
   SELECT explode(transform(sequence(0, size(t) - 3), i -> struct(
       xxhash64(t[i], t[i + 1], t[i + 2]) AS three, xxhash64(t[i + 1], t[i + 2]) AS pair, xxhash64(t[i], t[i + 1]) AS two, w[i + 2] AS word,
       CASE WHEN i < size(t) - 3 THEN int(t[i + 3] = '/' OR t[i + 3] RLIKE {_q(STOPS)}) END AS ends))) AS g
   FROM shaped)
-SELECT g.three, g.pair, g.two, g.word, count(g.ends) AS inside, coalesce(sum(g.ends), 0) AS ends, count_if(g.ends IS NULL) AS final
-FROM g GROUP BY g.three, g.pair, g.two, g.word
+SELECT g.three, g.pair, g.two, g.word, count(*) AS inside, sum(g.ends) AS ends
+FROM g WHERE g.ends IS NOT NULL GROUP BY g.three, g.pair, g.two, g.word
 """
 
 # The final trigram of each text.
@@ -63,9 +63,13 @@ FROM shaped
 
 DECISION = f"""
 WITH
-c3 AS (SELECT three, sum(inside) AS n3, sum(ends) AS s3, sum(final) AS f3 FROM counts GROUP BY three),
-cp AS (SELECT pair, sum(inside) AS np, sum(ends) AS sp, sum(final) AS fp FROM counts GROUP BY pair),
-c2 AS (SELECT two, sum(inside) AS n2, sum(ends) AS s2, sum(final) AS f2 FROM counts GROUP BY two),
+-- a text counts once as an end, however often it was delivered: copies of a cut text are no evidence that texts end there
+spots AS (
+  SELECT three, pair, two, inside, ends, 0 AS final FROM counts
+  UNION ALL SELECT three, pair, two, 0, 0, 1 FROM (SELECT same, first(three) AS three, first(pair) AS pair, first(two) AS two FROM finals GROUP BY same)),
+c3 AS (SELECT three, sum(inside) AS n3, sum(ends) AS s3, sum(final) AS f3 FROM spots GROUP BY three),
+cp AS (SELECT pair, sum(inside) AS np, sum(ends) AS sp, sum(final) AS fp FROM spots GROUP BY pair),
+c2 AS (SELECT two, sum(inside) AS n2, sum(ends) AS s2, sum(final) AS f2 FROM spots GROUP BY two),
 -- pieces of words: beginnings of the frequent continuations of two words, and of the very frequent words of all texts
 here AS (SELECT two, word, sum(inside) AS inside FROM counts GROUP BY two, word),
 pieces AS (
@@ -111,8 +115,8 @@ def judged(documents: DataFrame, key: str = "doc_id", text: str = "text", source
     else sentence, word or limit, after the evidence.
 
     `support`: from how many occurrences on a trigram can tell. `rate`: up to what share of its occurrences ending it
-    almost never ends; the text asked about is left out. Null, empty and blank texts have no row. Repeated rows are
-    counted as they are. A null source has no field limit. All counts are over all texts; the only tables joined are
+    almost never ends; the text asked about is left out, with all its copies. Null, empty and blank texts have no row.
+    Insides of repeated rows are counted as they are, ends once per distinct text. A null source has no field limit. All counts are over all texts; the only tables joined are
     counts by trigram, pair or word, aggregated within each partition first.
     """
     spark = documents.sparkSession

@@ -115,3 +115,10 @@ def test_truncation_field_limit(spark):
     rows = [(i, f"word{i} " + "some longer text goes here and on and on"[: 20 - len(str(i))], "cap") for i in range(12)] + [(i, "free text number %d ends here." % i, "free") for i in range(50, 80)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
     assert {r.doc_id for r in truncation.truncated(df).collect()} == set(range(12))
+
+
+def test_truncation_of_many_copies(spark):
+    inside = [(i, f"Report number {w}: the old reader was cleaned and the tile chip of the {w} board was verified again.", None) for i, w in enumerate("red blue green black white grey brown pink gold silver amber".split())]
+    copies = [(100 + i, "Every Monday in the long winter the old reader was cleaned and the", None) for i in range(20)]
+    df = spark.createDataFrame(inside + copies, "doc_id bigint, text string, source string")
+    assert sorted(r.doc_id for r in truncation.truncated(df).collect()) == list(range(100, 120))
