@@ -75,6 +75,21 @@ def available(items: DataFrame, copies: DataFrame) -> DataFrame:
     return items.join(have, "crc32", "left").withColumn("have", F.coalesce("have", F.lit(False)))
 
 
+def validate(items: DataFrame, copies: DataFrame) -> DataFrame:
+    """(inv_id, crc32, sha1, size, crc_ok, sha_ok, size_ok, valid): copies against all contents the catalogue expects
+    under their name, one row per copy and distinct content.
+
+    An expected content without checksum is invalid; a sha1 counts where both sides have one; a wrong size is told but
+    does not make a copy invalid. `crc_ok` is null where only the copy has no checksum, which is not valid either.
+    Copies whose name no item has are not validated.
+    """
+    want = items.select(F.lower("name").alias("lname"), F.col("crc32").alias("c"), F.col("sha1").alias("s"), F.col("size").alias("z")).distinct()
+    both = copies.withColumn("lname", F.lower("name")).join(want, "lname")
+    crc_ok = F.when(F.col("c").isNull(), False).otherwise(F.col("crc32") == F.col("c"))
+    sha_ok = F.col("sha1").isNull() | F.col("s").isNull() | (F.col("sha1") == F.col("s"))
+    return both.select("inv_id", F.col("c").alias("crc32"), F.col("s").alias("sha1"), F.col("z").alias("size"), crc_ok.alias("crc_ok"), sha_ok.alias("sha_ok"), (both["size"] == F.col("z")).alias("size_ok"), F.coalesce(crc_ok & sha_ok, F.lit(False)).alias("valid"))
+
+
 def set_status(sets: DataFrame, found: DataFrame, rule: str) -> DataFrame:
     """(set_name, required, found, status) by one of five named rules. `found` is items with `have` and `status`.
 

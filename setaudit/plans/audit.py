@@ -483,6 +483,12 @@ def validation(t: Tables) -> DataFrame:
     return i.select("inv_id", (F.col("crc32") == F.col("c")).alias("crc_ok"), (F.col("sha1").isNull() | F.col("s").isNull() | (F.col("sha1") == F.col("s"))).alias("sha_ok"), (F.col("size") == F.col("z")).alias("size_ok"))
 
 
+@query("SELECT *, coalesce(crc_ok AND sha_ok, false) AS valid FROM (SELECT i.inv_id, m.crc32, m.sha1, m.size, CASE WHEN m.crc32 IS NULL THEN false ELSE i.crc32 = m.crc32 END AS crc_ok, (i.sha1 IS NULL OR m.sha1 IS NULL OR i.sha1 = m.sha1) AS sha_ok, i.size = m.size AS size_ok FROM inv i JOIN (SELECT DISTINCT lower(name) AS lname, crc32, sha1, size FROM items) m ON lower(i.name) = m.lname)")
+def validation_all(t: Tables) -> DataFrame:
+    """Every copy against every content expected under its name; `validation` asks only names of one item, as its SQL does."""
+    return audit.validate(t.items, t.copies)
+
+
 # ---- set operations -------------------------------------------------------------------------------------------------
 
 

@@ -101,6 +101,13 @@ def test_status_rules(spark):
     assert of("strict")["empty"] == "missing" and of("direct")["whole"] == "broken"
 
 
+def test_validate_names_of_several_items(spark):
+    items = spark.createDataFrame([("a.bin", 1, "c1", None), ("A.bin", 2, "c2", "s2"), ("a.bin", 2, "c2", "s2"), ("none.bin", 3, None, None)], "name string, size int, crc32 string, sha1 string")
+    copies = spark.createDataFrame([(1, "a.BIN", 9, "c2", "s2"), (2, "a.bin", 1, None, None), (3, "none.bin", 3, "c3", None), (4, "other", 1, "c1", None)], "inv_id int, name string, size int, crc32 string, sha1 string")
+    got = {(r.inv_id, r.crc32): (r.crc_ok, r.sha_ok, r.size_ok, r.valid) for r in audit.validate(items, copies).collect()}
+    assert got == {(1, "c1"): (False, True, False, False), (1, "c2"): (True, True, False, True), (2, "c1"): (None, True, True, False), (2, "c2"): (None, True, False, False), (3, None): (False, True, True, False)}
+
+
 def test_best_copy(spark):
     rows = [(1, "c", "archive", "/a.zip", "e", 9), (2, "c", "file", "/b", None, 1), (3, "c", "file", "/a", None, 1), (4, None, "file", "/z", None, 1)]
     df = spark.createDataFrame(rows, "inv_id bigint, crc32 string, location_type string, location_path string, location_entry string, last_modified bigint")
