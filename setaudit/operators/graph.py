@@ -17,17 +17,18 @@ def edges(sets: DataFrame) -> DataFrame:
     return bios.unionAll(device).unionAll(parent).distinct()
 
 
-def closure(links: DataFrame, depth: int = 64, stride: int = 4) -> DataFrame:
+def closure(links: DataFrame, stride: int = 4) -> DataFrame:
     """(root, node, depth): every node reachable from a root, with its least depth; the root itself is not listed.
 
     The first `stride` rounds go one step each; from then on a round joins the pairs of the outermost depth with all
-    pairs found so near, and so goes `stride` steps. Each round keeps only new pairs, so cycles end and dangling ends stay
-    listed. Its pairs go to the checkpoint folder: the plan does not grow and a lost executor costs no recomputation.
+    pairs found so near, and so goes `stride` steps. Rounds go on until one brings nothing new, however long the chains.
+    Each round keeps only new pairs, so cycles end and dangling ends stay listed. Its pairs go to the checkpoint folder:
+    the plan does not grow and a lost executor costs no recomputation.
     """
     step = cut(links.select(F.col("src").alias("root"), F.col("dst").alias("node")).where("root <> node").distinct().withColumn("depth", F.lit(1)))
     seen = frontier = near = step
     at, hop = 1, 1
-    while at < depth:
+    while True:
         ahead = near.select(F.col("root").alias("node"), F.col("node").alias("next"), F.col("depth").alias("more"))
         grown = frontier.join(ahead, "node").where("root <> next").groupBy("root", F.col("next").alias("node")).agg((F.min("more") + at).alias("depth"))
         new = cut(grown.join(seen, ["root", "node"], "left_anti"))
@@ -41,10 +42,10 @@ def closure(links: DataFrame, depth: int = 64, stride: int = 4) -> DataFrame:
     return seen
 
 
-def required_items(sets: DataFrame, items: DataFrame, depth: int = 50) -> DataFrame:
+def required_items(sets: DataFrame, items: DataFrame) -> DataFrame:
     """(root, source, name, category): the items a set needs, its own and those of all it depends on."""
     own = sets.select(F.col("set_name").alias("root"), F.col("set_name").alias("source"), F.lit(True).alias("own"))
-    deps = closure(edges(sets), depth).select("root", F.col("node").alias("source"), F.lit(False).alias("own"))
+    deps = closure(edges(sets)).select("root", F.col("node").alias("source"), F.lit(False).alias("own"))
     flags = sets.select(F.col("set_name").alias("source"), "is_bios", "is_device")
     category = F.when(F.col("own"), "Game").when(F.col("is_bios"), "BIOS").when(F.col("is_device"), "Device").otherwise("Parent")
     from_ = own.unionAll(deps).join(flags, "source").select("root", "source", category.alias("category"))

@@ -125,6 +125,13 @@ def test_closure_with_cycle_and_dangling(spark):
     assert rebuild.split_plan(items).count() == 3
 
 
+def test_closure_of_long_chain(spark):
+    n = 71
+    links = spark.createDataFrame([(i, i + 1) for i in range(n)], "src int, dst int")
+    got = {(r.root, r.node): r.depth for r in graph.closure(links).collect()}
+    assert got == {(i, j): j - i for i in range(n) for j in range(i + 1, n + 1)}
+
+
 def test_functions(spark):
     one = spark.range(1)
     get = lambda c: one.select(c.alias("x")).first().x
