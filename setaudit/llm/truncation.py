@@ -24,6 +24,7 @@ STOPS = r"^([.!?。！？…)\]}\"”»*]|[^\p{L}\p{M}\p{N}\p{P}\s])"
 FULL = r"^[.!?。！？…]"
 OMISSION = r"(\s|\[(\.\.\.|…)\]|\((\.\.\.|…)\)|\.\.\.+|…|\x{FFFD}|[\\|¶\x00-\x1f])+$"
 TOKEN = r"\n+|\p{IsLatin}[\p{IsLatin}\p{M}'’]*|\p{IsCyrillic}+|[\p{L}\p{M}&&[^\p{IsLatin}\p{IsCyrillic}]]+|\p{N}+|[^\s\p{L}\p{M}\p{N}]"
+WIDE = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}]"
 SUM = r"(?<![\p{L}\p{N}])((?=[0-9a-fA-F]*[0-9])[0-9a-fA-F]{8}(?![\p{L}\p{N}])|(?=[0-9]*[a-fA-F])(?=[a-fA-F]*[0-9])[0-9a-fA-F]{2,7}$)"
 
 
@@ -36,9 +37,9 @@ WITH d AS (
   SELECT id, source, n, md5(text) AS same, regexp_like(text, {_q(LOST)}) AS broken, regexp_replace(text, {_q(OMISSION)}, '') AS body FROM texts WHERE text IS NOT NULL),
 raw AS (SELECT *, regexp_extract_all(regexp_replace(body, {_q(SUM)}, '88888888'), {_q(TOKEN)}, 0) AS w0 FROM d),
 short AS (
-  SELECT id, source, n, same, broken, concat(array('^', '^'), transform(w0, x -> CASE WHEN x RLIKE r'^\\n' THEN '/' WHEN x = '88888888' THEN '8' WHEN x RLIKE r'^\\p{{N}}' THEN '0' ELSE x END)) AS w
+  SELECT id, source, n, same, broken, body, concat(array('^', '^'), transform(w0, x -> CASE WHEN x RLIKE r'^\\n' THEN '/' WHEN x = '88888888' THEN '8' WHEN x RLIKE r'^\\p{{N}}' THEN '0' ELSE x END)) AS w
   FROM raw WHERE size(w0) > 0)
-SELECT id, source, n, same, broken, w, transform(w, (x, i) -> CASE
+SELECT id, source, n, same, broken, body, w, transform(w, (x, i) -> CASE
     WHEN x RLIKE r'^\\p{{Lu}}\\p{{Lu}}+$' THEN 'XX' WHEN x RLIKE r'^\\p{{Lu}}' AND NOT (i < 3 OR w[i - 1] = '/' OR w[i - 1] RLIKE {_q(FULL)}) THEN 'Xx' ELSE x END) AS t FROM short
 """
 
@@ -54,9 +55,10 @@ SELECT g.three, g.pair, g.two, g.word, count(*) AS inside, sum(g.ends) AS ends
 FROM g WHERE g.ends IS NOT NULL GROUP BY g.three, g.pair, g.two, g.word
 """
 
-# The final trigram of each text.
-FINALS = """
-SELECT id, source, n, same, broken, element_at(w, -1) AS word, element_at(t, -1) AS shape, size(t) > 9 AS long,
+# The final trigram of each text. A text is long enough to be no title by its tokens or by its characters; one of kana or kanji
+# counts for two.
+FINALS = f"""
+SELECT id, source, n, same, broken, element_at(w, -1) AS word, element_at(t, -1) AS shape, size(t) > 9 OR char_length(regexp_replace(trim(body), {_q(WIDE)}, 'xx')) >= 24 AS long,
        xxhash64(element_at(t, -3), element_at(t, -2), element_at(t, -1)) AS three, xxhash64(element_at(t, -2), element_at(t, -1)) AS pair, xxhash64(element_at(t, -3), element_at(t, -2)) AS two
 FROM shaped
 """

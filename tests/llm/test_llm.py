@@ -122,3 +122,11 @@ def test_truncation_of_many_copies(spark):
     copies = [(100 + i, "Every Monday in the long winter the old reader was cleaned and the", None) for i in range(20)]
     df = spark.createDataFrame(inside + copies, "doc_id bigint, text string, source string")
     assert sorted(r.doc_id for r in truncation.truncated(df).collect()) == list(range(100, 120))
+
+
+def test_truncation_of_short_texts(spark):
+    names = "red blue green black white grey brown pink gold silver amber".split()
+    rows = [(i, f"Die Prüfung {w}: Wir haben Platinen gefunden, darunter {w} Stücke aus dem Lager.", None) for i, w in enumerate(names)]
+    rows += [(30 + i, f"もう一度{w}読み直してください、それから{w}確認します。", None) for i, w in enumerate(names)] + [(50 + i, f"We play Lost Tennis 4 on {w} evenings.", None) for i, w in enumerate(names)]
+    df = spark.createDataFrame(rows + [(100, "Wir haben Platinen gefunden, darunte", None), (101, "Lost Tennis 4", None)], "doc_id bigint, text string, source string")
+    assert [r.doc_id for r in truncation.truncated(df).collect()] == [100]
