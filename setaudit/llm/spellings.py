@@ -9,6 +9,7 @@ spellings into components, and each component is grouped by average-linkage clus
 from __future__ import annotations
 
 import heapq
+import itertools
 import math
 import re
 import unicodedata
@@ -18,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from setaudit.session import cut
+from setaudit.session import cut, unsized
 
 # Entries that name nobody in particular; legal forms, articles and titles, which tell names apart in no way.
 NOBODY = frozenset(
@@ -166,16 +167,16 @@ def cosine_links(vectors: DataFrame, least: float, top_n: int | None = None, tai
     return links
 
 
-def components(links: DataFrame, rounds: int = 50) -> DataFrame:
-    """(id, component): the smallest id reachable. Labels spread along links and then jump to their label's label."""
+def components(links: DataFrame) -> DataFrame:
+    """(id, component): the smallest id reachable. Labels spread along links and then jump to their label's label, until none changes."""
     both = cut(links.select("a", "b").unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b"))))
     label = cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("component")))
-    for _ in range(rounds):
+    for n in itertools.count(1):
         near = both.join(label.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.min("component").alias("m"))
         spread = label.join(near.withColumnRenamed("a", "id"), "id", "left").select("id", F.col("component").alias("old"), F.least("component", "m").alias("component"))
         jump = label.select(F.col("id").alias("component"), F.col("component").alias("j"))
         new = cut(spread.join(jump, "component", "left").select("id", "old", F.least("component", "j").alias("component")))
-        label = new.select("id", "component")
+        label = new.select("id", "component") if n % 8 else unsized(new.select("id", "component"))
         if not new.where("old <> component").limit(1).count():
             break
     return label

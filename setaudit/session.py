@@ -44,6 +44,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def unsized(df: DataFrame) -> DataFrame:
+    """The same rows without the estimate of their size.
+
+    A checkpoint keeps the estimate of its plan; in a loop of joins that multiplies from round to round until it overflows.
+    """
+    return type(df)(df.sparkSession._jsparkSession.createDataFrame(df._jdf.toJavaRDD(), df._jdf.schema()), df.sparkSession)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """The same rows in at least as many partitions as the cluster has cores.
 

@@ -48,6 +48,11 @@ def test_spellings(spark):
     assert spellings.same_names(df.limit(0), "manufacturer").count() == 0
 
 
+def test_components_of_long_chain(spark):
+    links = spark.createDataFrame([(i, i + 1) for i in range(1, 56)] + [(0, 56)], "a bigint, b bigint")
+    assert {r.component for r in spellings.components(links).collect()} == {0}
+
+
 def test_average_linkage_is_average():
     import numpy as np
 
