@@ -32,6 +32,26 @@ def p4_roms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nested.scalar_fields(rows, "rom")
 
 
+def _p4_kind(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    return nested.scalar_fields(nested.flatten_records(table(spark, sf_dir, "machine_records"), "record_id", "payload"), kind)
+
+
+def p4_disks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _p4_kind(spark, sf_dir, "disk")
+
+
+def p4_dipswitches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _p4_kind(spark, sf_dir, "dipswitch")
+
+
+def p4_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _p4_kind(spark, sf_dir, "diplocation")
+
+
+def p4_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _p4_kind(spark, sf_dir, "dipvalue")
+
+
 def p4_machines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nested.machine_rows(table(spark, sf_dir, "machine_records"))
 
@@ -46,7 +66,7 @@ def p5_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reconcile.inventory_differences(table(spark, sf_dir, "inventory"), table(spark, sf_dir, "inventory_copy"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_fields, p4_found, p4_roms, p4_machines, p5_found, p5_values)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_fields, p4_found, p4_roms, p4_disks, p4_dipswitches, p4_locations, p4_values, p4_machines, p5_found, p5_values)}
 
 _SNAPSHOTS = r"""
 WITH norm AS (

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from setaudit.functions import checksums, names
 from setaudit.operators import audit, graph, nested, rebuild, reconcile, snapshots
+from setaudit.plans import catalogue
 from setaudit.sinks import archives, documents
 from setaudit.sources import catalog, files
 from setaudit.streaming import progress
@@ -61,6 +62,13 @@ def test_nested_keys_and_tables(spark):
     assert {(r.record_id, r.name) for r in nested.machine_rows(df).collect()} == {(7, None), (8, "m")}
 
 
+def test_nested_queries_of_all_kinds(spark, tmp_path):
+    payload = {"machine": {"rom": {"name": "r"}, "disk": [{"name": "d"}], "dipswitch": [{"name": "s", "diplocation": {"name": "l"}, "dipvalue": [{"name": "v"}, {"name": "w"}]}]}}
+    spark.createDataFrame([(1, json.dumps(payload))], "record_id bigint, payload string").write.parquet(str(tmp_path / "machine_records.parquet"))
+    names = {q: [r.f_name for r in catalogue.queries()[f"p4_{q}"](spark, str(tmp_path)).orderBy("pos").collect()] for q in ("roms", "disks", "dipswitches", "locations", "values")}
+    assert names == {"roms": ["r"], "disks": ["d"], "dipswitches": ["s"], "locations": ["l"], "values": ["v", "w"]}
+
+
 def test_nested_empty(spark):
     assert nested.flatten_records(spark.createDataFrame([], "record_id bigint, payload string"), "record_id", "payload").count() == 0
 
