@@ -1,18 +1,20 @@
 """Variant spellings of names typed by people (problem 3).
 
-Every distinct spelling becomes a vector of character n-grams, weighted by how rare they are, so words that many names
-share count little. A sparse join finds the pairs whose cosine reaches a threshold: n-grams are taken rarest first, and
-only as many as are needed for no pair above the threshold to be missed (prefix filter) are joined. The links split the
-spellings into components, and each component is grouped by average-linkage clustering.
+A name's words are telling or common: words that many names have beside many different words (trades, first names), their
+misspellings and abbreviations are common. The telling words of a spelling become a vector of character n-grams, weighted
+by how rare they are, and a sparse join finds the pairs whose cosine reaches a threshold: n-grams are taken rarest first,
+and only as many as are needed for no pair above the threshold to be missed (prefix filter) are joined. An exact check
+follows: telling words must agree up to one edit, and what else the names hold must not contradict. The links split the
+spellings into components, and each component is grouped by average-linkage clustering of the cosines.
 """
 
 from __future__ import annotations
 
 import heapq
 import itertools
-import math
 import re
 import unicodedata
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -28,7 +30,6 @@ NOBODY = frozenset(
 )
 NOBODY_PHRASES = frozenset({"public domain", "not known", "not available", "not applicable", "no data", "various artists", "see notes", "to be announced", "do not know", "dont know", "unknown manufacturer", "unknown company"})
 LEGAL = frozenset("inc incorporated ltd limited co company corp corpn corporation gmbh kk sa ag kg bv nv oy ab as plc llc llp lp srl spa sl sarl kabushiki kaisha kaisya the and mr mrs ms dr".split())
-SPELLED = ("g m b h", "k k", "s a", "l l c", "s p a", "s r l", "p l c")
 
 
 def bare(name: str) -> str:
@@ -45,8 +46,9 @@ def words_of(name: str) -> list[str]:
     text = bare(name)
     if not text or text in NOBODY_PHRASES or set(text.split()) <= NOBODY:
         return []
-    kept = [w for w in text.split() if w not in LEGAL and len(w) > 1]
-    return kept or text.split()
+    initials = {re.sub(r"\W", "", x).casefold() for x in re.findall(r"\b(?:\w\.\s?)+(?:\w\b)?", name)} - LEGAL
+    kept = [x for w in text.split() if w not in LEGAL for x in (w if w in initials else (w,))]
+    return kept if any(len(w) > 1 for w in kept) else text.split()
 
 
 def alias_of(name: str) -> tuple[str, str] | None:
@@ -55,47 +57,76 @@ def alias_of(name: str) -> tuple[str, str] | None:
     return (bare(m[1]).replace(" ", ""), m[2]) if m else None
 
 
-def edits(a: str, b: str, most: int) -> bool:
-    """Whether at most `most` changed, missing, added or swapped letters turn one word into the other."""
-    if abs(len(a) - len(b)) > most:
+def one_edit(a: str, b: str) -> bool:
+    """Whether one changed, missing, added or swapped letter, or none, turns one word into the other."""
+    if abs(len(a) - len(b)) > 1:
         return False
-    before, row = None, list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        new = [i]
-        for j, y in enumerate(b, 1):
-            v = min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y))
-            if before and j > 1 and x == b[j - 2] and a[i - 2] == y:
-                v = min(v, before[j - 2] + 1)
-            new.append(v)
-        if min(new) > most:
-            return False
-        before, row = row, new
-    return row[-1] <= most
-
-
-class Words:
-    """How telling words are: the logarithm of their rarity, common words by their count, misspelt common words like
-    them, all others alike."""
-
-    def __init__(self, common: dict[str, int], names: int, power: float):
-        self.common, self.names, self.power, self.known = common, names, power, {}
-        self.long = [w for w in common if len(w) >= 5]
-
-    def weight(self, word: str) -> float:
-        if word not in self.known:
-            n = self.common.get(word) or max((self.common[w] for w in self.long if len(word) >= 5 and edits(word, w, 2 if len(w) >= 7 else 1)), default=3)
-            self.known[word] = max(0.1, math.log((self.names + 1) / min(n, self.names))) ** self.power
-        return self.known[word]
-
-    def grams(self, words: list[str], sizes: tuple[int, ...]) -> dict[str, float]:
-        out: dict[str, float] = {}
+    i = 0
+    while i < min(len(a), len(b)) and a[i] == b[i]:
+        i += 1
+    x, y = a[i:], b[i:]
+    return x[1:] == y[1:] or x == y[1:] or x[1:] == y or (x[:2] == y[:2][::-1] and x[2:] == y[2:])
+
+
+def shortened(a: str, b: str) -> bool:
+    """Whether the shorter word may be the longer one's abbreviation: its beginning, or up to five of its letters in order, the first included."""
+    short, long = sorted((a, b), key=len)
+    rest = iter(long)
+    return long.startswith(short) or (short[0] == long[0] and len(short) <= 5 and all(c in rest for c in short))
+
+
+class Common:
+    """Tells whether a word is common: one of the given words, a misspelling (from five letters on) or abbreviation of one."""
+
+    def __init__(self, words: list[str]):
+        self.words, self.known = frozenset(words), {}
+        self.near: dict[str, list[str]] = {}
+        for w in words:
+            if len(w) >= 5:
+                for x in self._less(w):
+                    self.near.setdefault(x, []).append(w)
+        self.by_initial: dict[str, list[str]] = {}
         for w in words:
-            u, framed = self.weight(w), f"^{w}$"
-            for n in sizes:
-                for i in range(max(1, len(framed) - n + 1)):
-                    g = framed[i : i + n]
-                    out[g] = max(u, out.get(g, 0.0))
-        return out
+            self.by_initial.setdefault(w[0], []).append(w)
+
+    @staticmethod
+    def _less(w: str) -> set[str]:
+        return {w} | {w[:i] + w[i + 1 :] for i in range(len(w))}
+
+    def __contains__(self, w: str) -> bool:
+        if w not in self.known:
+            self.known[w] = (
+                w in self.words or len(w) == 1 or (len(w) >= 5 and any(one_edit(w, c) for x in self._less(w) for c in self.near.get(x, ()))) or any(len(w) < len(c) and shortened(w, c) for c in self.by_initial.get(w[0], ()))
+            )
+        return self.known[w]
+
+
+def read_name(words: list[str], common: Common) -> tuple[str, str]:
+    """The telling words, and the initials of the others; a name of common words alone is telling as a whole."""
+    telling = sorted({w for w in words if w not in common}) or sorted(set(words))
+    return " ".join(telling), "".join(sorted({w[0] for w in words if w not in telling}))
+
+
+def verdict(a: str, others_a: str, b: str, others_b: str) -> int:
+    """1 if two readings agree, -1 if they contradict each other, 0 if neither.
+
+    They agree if a telling word of one is a telling word of the other up to one edit (from five letters on; shorter ones
+    must be equal). Words that stand in one name alone say nothing; where both have such words one of the one side must
+    begin like one of the other side, and unmatched telling words must be short for one another, or one short and alike in two letters at the beginning.
+    """
+    left, right, hit = a.split(), b.split(), False
+    for w in sorted(left, key=len, reverse=True):
+        same = next((x for x in right if x == w), None) or next((x for x in right if len(w) >= 5 and len(x) >= 5 and one_edit(w, x)), None)
+        if same is not None:
+            left.remove(w)
+            right.remove(same)
+            hit = True
+    apart = {*others_a, *(w[0] for w in left if hit)}, {*others_b, *(w[0] for w in right if hit)}
+    if all(apart) and not apart[0] & apart[1]:
+        return -1
+    if hit and left and right and not any(shortened(x, y) or (x[:2] == y[:2] and min(len(x), len(y)) <= 5) for x in left for y in right):
+        return -1
+    return int(hit)
 
 
 def read_as(names: DataFrame) -> DataFrame:
@@ -120,51 +151,85 @@ def read_as(names: DataFrame) -> DataFrame:
     return read.select("name", word_list(F.coalesce("long", "name")).alias("words")).where(F.size("words") > 0)
 
 
-def weighted(names: DataFrame, sizes: tuple[int, ...], power: float, share: float) -> DataFrame:
-    """(id, gram, weight, rest) of (id, words): unit vectors; a gram weighs by the rarity of its word to `power` and by
-    the root of its own. `rest` is the norm of this gram and all more common ones of the name.
+def common_words(names: DataFrame, spellings: int, share: float) -> list[str]:
+    """Words of at least `share` of all names, and of more names than one entity has `spellings`, that stand beside many
+    different words (a quarter as many as names). A name has few words, so there are at most a few times 1/share of them,
+    however many names there are."""
+    least = max(spellings, share * names.count())
+    words = names.select(F.array_distinct("words").alias("words"))
+    counts = words.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    beside = words.select(F.explode("words").alias("word"), "words").join(counts, "word").select("word", "n", F.explode("words").alias("by")).distinct().groupBy("word", "n").agg(F.count("*").alias("k"))
+    return sorted(r.word for r in beside.where(F.col("k") >= 0.25 * F.col("n")).collect())
 
-    Words that at least `share` of all names have (and five names) are collected: as a name has few words there are at
-    most a few times 1/share of them, however many names there are.
-    """
-    total = names.count()
-    counts = names.select(F.explode(F.array_distinct("words")).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-    common = {r.word: r.n for r in counts.where(F.col("n") >= max(5, share * total)).collect()}
 
-    @F.pandas_udf("array<struct<gram: string, u: double>>")
-    def gram_list(s: pd.Series) -> pd.Series:
-        words = Words(common, total, power)
-        return s.map(lambda w: list(words.grams(list(w), sizes).items()))
+def readings(names: DataFrame, common: list[str]) -> DataFrame:
+    """(name, telling, others): what is compared of each name."""
+
+    @F.pandas_udf("struct<telling: string, others: string>")
+    def read(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        known = Common(common)
+        for s in batches:
+            yield pd.DataFrame([read_name(list(w), known) for w in s], columns=["telling", "others"])
+
+    return names.select("name", read("words").alias("r")).select("name", "r.telling", "r.others")
 
-    pairs = cut(names.select("id", F.explode(gram_list("words")).alias("g")).select("id", "g.gram", "g.u"))
+
+def weighted(texts: DataFrame, size: int = 3) -> DataFrame:
+    """(id, gram, df, weight, rest) of (id, telling): unit vectors of the words' framed n-grams, a gram weighing by the root
+    of the logarithm of its rarity. `rest` is the norm of this gram and all more common ones of the text."""
+    total = texts.count()
+    framed = F.transform(F.split("telling", " "), lambda w: F.concat(F.lit("^"), w, F.lit("$")))
+    grams = F.flatten(F.transform(framed, lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(w) - (size - 1))), lambda i: F.substring(w, i, size))))
+    pairs = texts.select("id", F.explode(F.array_distinct(grams)).alias("gram"))
     df = pairs.groupBy("gram").agg(F.count("*").alias("df"))
-    raw = pairs.join(df, "gram").withColumn("raw", F.col("u") * F.sqrt(F.log(F.lit(total + 1.0) / F.col("df"))))
+    raw = pairs.join(df, "gram").withColumn("raw", F.sqrt(F.log(F.lit(total + 1.0) / F.col("df"))))
     whole = Window.partitionBy("id")
     onward = whole.orderBy(F.col("df"), "gram").rowsBetween(0, Window.unboundedFollowing)
     norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(whole))
     rest = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(onward)) / norm
-    return raw.where("raw > 0").withColumn("rest", rest).withColumn("weight", F.col("raw") / norm).select("id", "gram", "weight", "rest")
+    return raw.withColumn("rest", rest).withColumn("weight", F.col("raw") / norm).select("id", "gram", "df", "weight", "rest")
 
 
-def cosine_links(vectors: DataFrame, least: float, top_n: int | None = None, tail: float = 0.2) -> DataFrame:
-    """(a, b, sim): every pair a < b of cosine `least` or more; with `top_n`, only each side's that many best.
+def cosine_links(vectors: DataFrame, least: float, tail: float = 0.1, block: int = 2000) -> DataFrame:
+    """(a, b, sim): every pair a < b of cosine `least` or more.
 
     Grams are ordered from rare to common, the same for all. Of each vector the part before its `tail` (the common grams
     whose norm is below it) is joined, adding up products. What the pair has beyond both heads lies in the tail of one
     of them and adds less than `tail`, so pairs whose sum is below `least - tail` are dropped before the exact product.
+    A gram of more than `block` vectors is joined in blocks, so no gram is one task's work.
     """
-    heads = vectors.where(F.col("rest") >= tail).select("id", "gram", "weight")
-    left, right = heads.toDF("a", "gram", "x"), heads.toDF("b", "gram", "y")
-    found = left.join(right, "gram").where("a < b").groupBy("a", "b").agg(F.sum(F.col("x") * F.col("y")).alias("part")).where(F.col("part") >= least - tail).select("a", "b")
+    heads = vectors.where(F.col("rest") >= tail).withColumn("blocks", F.ceil(F.col("df") / block).cast("int"))
+    left = heads.select("gram", F.col("id").alias("a"), F.col("weight").alias("x"), F.pmod(F.hash("id"), "blocks").alias("part"))
+    right = heads.select("gram", F.col("id").alias("b"), F.col("weight").alias("y"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("part"))
+    found = left.join(right, ["gram", "part"]).where("a < b").groupBy("a", "b").agg(F.sum(F.col("x") * F.col("y")).alias("head")).where(F.col("head") >= least - tail).select("a", "b")
     lists = vectors.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("gram", "weight"))).alias("v"))
     both = found.join(lists.select(F.col("id").alias("a"), F.col("v").alias("va")), "a").join(lists.select(F.col("id").alias("b"), F.col("v").alias("vb")), "b")
     product = F.aggregate(F.map_entries("va"), F.lit(0.0), lambda s, e: s + e.value * F.coalesce(F.element_at("vb", e.key), F.lit(0.0)))
-    links = both.select("a", "b", product.alias("sim")).where(F.col("sim") >= least)
-    if top_n:
-        ends = links.select("a", "b", "sim", F.explode(F.array("a", "b")).alias("of"))
-        best = ends.withColumn("r", F.row_number().over(Window.partitionBy("of").orderBy(F.desc("sim"), "a", "b"))).where(F.col("r") <= top_n)
-        links = best.select("a", "b", "sim").distinct()
-    return links
+    return both.select("a", "b", product.alias("sim")).where(F.col("sim") >= least)
+
+
+def judged_links(pairs: DataFrame) -> DataFrame:
+    """(a, b, sim, strong) of pairs with readings: strong where they agree; where they contradict each other `sim` is -1."""
+
+    @F.pandas_udf("int")
+    def judge(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        for ta, oa, tb, ob in batches:
+            yield pd.Series([verdict(*x) for x in zip(ta, oa, tb, ob)], dtype="int32")
+
+    said = pairs.withColumn("said", judge("telling_a", "others_a", "telling_b", "others_b"))
+    return said.select("a", "b", F.when(F.col("said") < 0, -1.0).otherwise(F.col("sim")).alias("sim"), (F.col("said") > 0).alias("strong"))
+
+
+def best_links(links: DataFrame, top_n: int) -> DataFrame:
+    """The strong links, all of them, and of the others those that are among the `top_n` most similar of either end.
+
+    The bound takes nothing from the components, which strong links alone make; of the evidence inside a component it takes
+    what lies beyond a reading's `top_n` nearest.
+    """
+    ends = links.where("NOT strong").select("a", "b", "sim", F.explode(F.array("a", "b")).alias("of"))
+    rank = F.row_number().over(Window.partitionBy("of").orderBy(F.desc(F.abs("sim")), "a", "b"))
+    weak = ends.withColumn("r", rank).where(F.col("r") <= top_n).select("a", "b", "sim").distinct()
+    return links.where("strong").unionByName(weak.withColumn("strong", F.lit(False)))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -217,25 +282,35 @@ def average_linkage(a: np.ndarray, b: np.ndarray, sim: np.ndarray, least: float)
     return out
 
 
-def same_names(df: DataFrame, column: str, link: float = 0.35, least: float = 0.4, power: float = 2.0, sizes: tuple[int, ...] = (3,), share: float = 0.003, top_n: int | None = None) -> DataFrame:
+def same_names(df: DataFrame, column: str, link: float = 0.22, least: float = 0.2, spellings: int = 13, share: float = 0.002, top_n: int = 64) -> DataFrame:
     """(a, b): each pair of distinct spellings of `column` that name the same company or person, the smaller by bytes first.
 
     Null, empty and blank values and entries that name nobody have no pairs. Spellings are exact strings: such that
-    differ only in case or blanks are pairs. `link` is the cosine from which pairs enter the clustering, `least` the
-    mean cosine down to which clusters are joined. `top_n` bounds the partners of a spelling; None, the default, loses
-    none. The work depends on the distinct spellings, of which only their n-grams, links and clusters are shuffled.
+    differ only in case or blanks are pairs. `link` is the cosine from which pairs are looked at, `least` the mean
+    cosine down to which clusters are joined; a pair that contradicts itself counts -1. Words of at least `spellings` names
+    and of a `share` of all are common if they stand beside many different words. `top_n` bounds the weaker evidence taken
+    for a spelling, never its links. Spellings of equal reading are one vector, so the join depends on the distinct readings.
     """
     names = df.select(F.col(column).alias("name")).where(F.col("name").rlike(r"\S")).distinct()
-    ided = cut(read_as(names).withColumn("id", F.xxhash64("name")))
-    vectors = cut(weighted(ided.select("id", "words"), sizes, power, share))
-    links = cut(cosine_links(vectors, link, top_n))
-    label = components(links)
+    worded = cut(read_as(names))
+    read = cut(readings(worded, common_words(worded, spellings, share)))
+    texts = cut(read.select("telling").distinct().withColumn("id", F.monotonically_increasing_id()))
+    nodes = cut(read.select("telling", "others").distinct().join(texts.withColumnRenamed("id", "text"), "telling").withColumn("id", F.monotonically_increasing_id()))
+    near = cosine_links(cut(weighted(texts)), link)
+    same = texts.select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("sim"))
+    side = lambda x: nodes.select(F.col("text").alias(x), F.col("id").alias(f"id_{x}"), F.col("telling").alias(f"telling_{x}"), F.col("others").alias(f"others_{x}"))
+    pairs = near.unionByName(same).join(side("a"), "a").join(side("b"), "b").where("a <> b OR id_a < id_b")
+    low, high = F.least("id_a", "id_b"), F.greatest("id_a", "id_b")
+    links = cut(judged_links(pairs.select(low.alias("a"), high.alias("b"), "sim", "telling_a", "others_a", "telling_b", "others_b")))
+    label = components(links.where("strong"))
 
     def group(pdf: pd.DataFrame) -> pd.DataFrame:
         found = average_linkage(pdf["a"].to_numpy(), pdf["b"].to_numpy(), pdf["sim"].to_numpy(), least)
         return pd.DataFrame({"id": found.keys(), "cluster": found.values()}, dtype="int64")
 
-    clusters = links.join(label.withColumnRenamed("id", "a"), "a").groupBy("component").applyInPandas(group, "id bigint, cluster bigint")
-    named = cut(clusters.join(ided.select("id", "name"), "id"))
+    ends = best_links(links, top_n).join(label.withColumnRenamed("id", "a"), "a").join(label.toDF("b", "other"), "b").where("component = other")
+    clusters = ends.groupBy("component").applyInPandas(group, "id bigint, cluster bigint")
+    placed = nodes.join(clusters, "id", "left").select("telling", "others", F.coalesce("cluster", "id").alias("cluster"))
+    named = cut(read.join(placed, ["telling", "others"]).select("name", "cluster"))
     other = named.select("cluster", F.col("name").alias("b"))
     return named.select("cluster", F.col("name").alias("a")).join(other, "cluster").where("a < b").select("a", "b")

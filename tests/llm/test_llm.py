@@ -135,3 +135,33 @@ def test_truncation_of_short_texts(spark):
     rows += [(30 + i, f"もう一度{w}読み直してください、それから{w}確認します。", None) for i, w in enumerate(names)] + [(50 + i, f"We play Lost Tennis 4 on {w} evenings.", None) for i, w in enumerate(names)]
     df = spark.createDataFrame(rows + [(100, "Wir haben Platinen gefunden, darunte", None), (101, "Lost Tennis 4", None)], "doc_id bigint, text string, source string")
     assert [r.doc_id for r in truncation.truncated(df).collect()] == [100]
+
+
+def test_spellings_that_contradict(spark):
+    names = ["Alma Keleshen", "Keleshen, Alma", "A. Keleshen", "Ruth Keleshen", "R. Keleshen", "Keleshen Ruth", "Shewojair Publishing", "Wilfanor Shewoze", "Chebrovox Denshi", "Potrovox Denshi", "CHEBROVOX DENSHI"]
+    df = spark.createDataFrame([(n, "x") for n in names], "manufacturer string, a string")
+    pairs = {(r.a, r.b) for r in spellings.same_names(df, "manufacturer").collect()}
+    groups = [names[:3], names[3:6], [names[8], names[10]]]
+    assert pairs == {(a, b) for g in groups for a in g for b in g if a < b}
+
+
+def test_one_edit_and_common_words():
+    assert all(spellings.one_edit("kogyo", x) for x in ("kogyo", "kogy", "ogyo", "koggyo", "kigyo", "koygo")) and not any(spellings.one_edit("kogyo", x) for x in ("kgoy", "kogyoxx", "okgoy"))
+    common = spellings.Common(["publishing", "manufacturing", "gavrentin"])
+    assert all(w in common for w in ("publ", "pub", "mfg", "gav", "publishng", "j")) and not any(w in common for w in ("zegapel", "pudding", "manual"))
+
+
+def test_cosine_links_in_blocks_equal_brute_force(spark):
+    import math
+
+    words = ["brevotrex", "brevotrx", "kogrevo", "lodimar", "lodimra", "marlodi", "vexbrot"]
+    texts = spark.createDataFrame(list(enumerate(words)), "id bigint, telling string")
+    vectors = spellings.weighted(texts)
+    v = {}
+    for r in vectors.collect():
+        v.setdefault(r.id, {})[r.gram] = r.weight
+    want = {(a, b) for a in v for b in v if a < b and math.fsum(x * v[b].get(g, 0) for g, x in v[a].items()) >= 0.22}
+    for block in (1, 2000):
+        assert {(r.a, r.b) for r in spellings.cosine_links(vectors, 0.22, block=block).collect()} == want
+    links = spark.createDataFrame([(0, i, 0.5 + i / 100, i == 1) for i in range(1, 9)], "a bigint, b bigint, sim double, strong boolean")
+    assert {(r.b, r.strong) for r in spellings.best_links(links, 2).where("strong or sim > 0.56").collect()} == {(1, True), (7, False), (8, False)}
