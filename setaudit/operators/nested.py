@@ -1,9 +1,11 @@
 """Deeply nested records into related flat tables (problem 4).
 
-The JSON text is parsed once to VARIANT. A merged schema is inferred level by level with `schema_of_variant_agg` (only
-the schema text reaches the driver; its size follows the number of distinct field names, not of rows). The schema says
-at which paths lists of the wanted kinds occur in any feed; every such list is then exploded in one pass over the
-records, without a shuffle, each child carrying its parent's surrogate key and its ordinal.
+The JSON text is parsed once to VARIANT and kept in the checkpoint folder. A merged schema is inferred with
+`schema_of_variant_agg` (only the schema text reaches the driver; its size follows the number of distinct field names, not
+of rows), and every array level is exploded into rows that carry their parent's surrogate key and their ordinal. Where the
+schema tells what lies below, no further pass is needed; where a place holds objects in one feed and lists or text in
+another, the rows found there are asked for their own schema. This goes on until no place is left, however deep. Rows that
+are done pass through the later levels, so all child tables come from one pass without a shuffle.
 """
 
 from __future__ import annotations
@@ -15,6 +17,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from setaudit.session import cut, with_settings
+
 SENTINEL = "\\u0001end"
 
 
@@ -63,7 +67,8 @@ def let(v: Column, f: Callable[[Column], Column]) -> Column:
 
 
 def as_items(v: Column) -> Column:
-    """The objects of a list however it is written: a JSON list, a sole object, or either as JSON text. Others: empty."""
+    """The objects of a list however it is written: a JSON list, a sole object, or either as JSON text. The objects of a list
+    directly inside stand in its place; others: empty."""
     return let(v, _items)
 
 
@@ -71,8 +76,15 @@ def _items(v: Column) -> Column:
     plain = F.coalesce(F.try_variant_get(v, "$", "array<variant>"), F.when(is_object(v), F.array(v)))
     text = F.try_variant_get(v, "$", "string")
     from_text = F.when(text.rlike(r"^\s*[\[{]"), let(parsed(text), lambda x: F.coalesce(F.try_variant_get(x, "$", "array<variant>"), F.when(is_object(x), F.array(x)))))
-    empty = F.array().cast("array<variant>")
-    return F.filter(F.coalesce(plain, from_text, empty), is_object)
+    return let(F.coalesce(plain, from_text, no_items()), lambda x: F.when(F.forall(x, is_object), x).otherwise(F.filter(F.flatten(F.transform(x, _spliced)), is_object)))
+
+
+def _spliced(x: Column) -> Column:
+    return F.coalesce(F.when(is_object(x), F.array(x)), F.try_variant_get(x, "$", "array<variant>"), no_items())
+
+
+def no_items() -> Column:
+    return F.array().cast("array<variant>")
 
 
 def step_path(key: str) -> str:
@@ -113,122 +125,90 @@ def plain_name(key: str) -> str:
     return re.sub(r"^[@_]+", "", key).lower()
 
 
-@dataclass
-class Found:
-    """A list of one kind: the steps to it (each a path; between two of them the value is spread as a list)."""
+def element_of(schema: str) -> str:
+    """The schema of the objects that `as_items` makes of a value of this schema; empty where only the rows can tell."""
+    if schema.startswith("OBJECT<"):
+        return schema
+    return schema[6:-1] if schema.startswith("ARRAY<OBJECT<") else ""
+
+
+@dataclass(frozen=True)
+class Site:
+    """A place whose objects become rows: its path from the record, the kind of its list (None for a list between), the
+    nearest kind that holds or is this place, and the schema of its objects (empty where only the rows can tell)."""
 
-    kind: Kind
-    steps: tuple[str, ...]
+    path: str
+    kind: Kind | None
+    owner: Kind | None
+    schema: str
 
 
-def _search(schema: str, kinds: tuple[Kind, ...], at: str, done: tuple[str, ...]) -> tuple[list[Found], list[tuple[str, ...]]]:
-    """Lists of the kinds that the schema shows, and the places of mixed type that must be spread and looked into."""
-    lists, mixed = [], []
+def places(schema: str, site: Site, kinds: tuple[Kind, ...], at: str = "$") -> list[tuple[str, Site]]:
+    """(path in an object, site) of all lists that objects of this schema hold: those of the kinds and those between."""
+    found = []
     for key, kind_of in fields_of(schema).items():
         path = at + step_path(key)
-        kind = next((k for k in kinds if plain_name(key) in k.keys), None)
-        container = kind_of.startswith(("OBJECT<", "ARRAY<")) or kind_of == "VARIANT"
-        if kind and (container or kind_of == "STRING"):
-            lists.append(Found(kind, (*done, path)))
+        kind = next((k for k in (*kinds, *(site.owner.inner if site.owner else ())) if plain_name(key) in k.keys), None)
+        listed = re.match(r"(ARRAY<)*(ARRAY<OBJECT<|VARIANT)", kind_of)
+        if kind and (listed or kind_of.startswith("OBJECT<") or kind_of == "STRING"):
+            found.append((path, Site(site.path + path[1:], kind, kind, element_of(kind_of))))
         elif kind_of.startswith("OBJECT<"):
-            a, b = _search(kind_of, kinds, path, done)
-            lists, mixed = lists + a, mixed + b
-        elif container:
-            mixed.append((*done, path))
-    return lists, mixed
-
-
-def _under(path: str) -> Callable[[Column], Column]:
-    return lambda x: as_items(F.try_variant_get(x, path, "variant"))
-
-
-def _spread(root: Column, steps: tuple[str, ...]) -> Column:
-    """The objects reached from a VARIANT column by steps, as one array."""
-    items = as_items(F.try_variant_get(root, steps[0], "variant"))
-    for path in steps[1:]:
-        items = F.flatten(F.transform(items, _under(path)))
-    return items
-
-
-def discover(records: DataFrame, root: str, kinds: tuple[Kind, ...], depth: int = 8) -> list[Found]:
-    """Where lists of the kinds occur, from the merged schema of all records. One small aggregate per nesting level."""
-    schema = records.agg(F.schema_of_variant_agg(F.col(root)).alias("s")).first()[0] or "VOID"
-    if schema.startswith("ARRAY<") or schema == "VARIANT":
-        lists, mixed = [], [("$",)]
-    else:
-        lists, mixed = _search(schema, kinds, "$", ())
-    for _ in range(depth):
-        if not mixed:
-            break
-        named = F.array(*(F.struct(F.lit(i).alias("place"), _spread(F.col(root), steps).alias("items")) for i, steps in enumerate(mixed)))
-        rows = records.select(F.explode(named).alias("p")).select("p.place", F.explode("p.items").alias("v")).groupBy("place").agg(F.schema_of_variant_agg("v").alias("s")).collect()
-        at, mixed = mixed, []
-        for r in rows:
-            a, b = _search(r.s, kinds, "$", at[r.place])
-            lists, mixed = lists + a, mixed + b
-    return sorted(lists, key=lambda f: f.steps)
+            found += places(kind_of, site, kinds, path)
+        elif listed:
+            found.append((path, Site(site.path + path[1:], None, site.owner, element_of(kind_of))))
+    return found
+
+
+def _children(n: int, holder: Site, site: Site, path: str) -> Column:
+    """Rows for the objects of one list of a row. A row of a list between stands for the row of a kind that holds it."""
+    row = lambda c: F.col(f"row.{c}")
+    key, pos = (row("key"), row("pos")) if holder.kind else (row("parent_key"), row("parent_pos"))
+    if site.kind and not (holder.owner and site.kind in holder.owner.inner):
+        pos = F.lit(-1).cast("bigint")
+
+    def one(x: Column, i: Column) -> Column:
+        mine = F.concat(row("key"), F.lit(path[1:] + "["), i.cast("string"), F.lit("]"))
+        return F.struct(F.lit(n).alias("site"), row("record_id").alias("record_id"), mine.alias("key"), key.alias("parent_key"), pos.alias("parent_pos"), i.cast("bigint").alias("pos"), x.alias("item"))
+
+    return F.transform(as_items(F.try_variant_get(row("item"), path, "variant")), one)
 
 
 def flatten_records(df: DataFrame, record_id: str, payload: str, kinds: tuple[Kind, ...] = MACHINE_KINDS) -> DataFrame:
     """(record_id, child, key, parent_key, list_path, parent_pos, pos, item): one row per object of any wanted list.
 
-    `key` is the row's surrogate key (record, path of the list, positions), `parent_key` that of its parent: the record
-    itself, or the object holding the list. `pos` counts the objects of its own list from 0; `parent_pos` is the `pos`
-    of the holding object, else -1. `item` is the object as VARIANT. Payloads that are null, empty or not valid JSON as
-    a whole give no rows; so do absent, null or empty lists. Objects with fields missing count. Of a field named twice
-    in one object the last counts. Other columns of `df` are not read.
+    `key` is the row's surrogate key (record, path, positions), `parent_key` that of its parent: the nearest object of a
+    wanted list that holds it, or the record. `pos` counts the objects of its own list from 0; `parent_pos` is the `pos` of
+    the parent if its kind has this kind inside, else -1. `item` is the object as VARIANT. Lists are found at any depth,
+    within lists of their own kind too. Payloads that are null, empty or not valid JSON as a whole give no rows; so do
+    absent, null or empty lists. Objects with fields missing count. Of a field named twice in one object the last counts.
+    Rows with equal `record_id` are flattened each. Other columns of `df` are not read.
     """
-    spark = df.sparkSession
-    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
-    records = df.select(F.col(record_id).alias("record_id"), parsed(payload).alias("v"))
-    arrays = []
-    outer = discover(records, "v", kinds)
-    holders = [f for f in outer if f.kind.inner]
-    inner: dict[int, list[Found]] = {}
-    if holders:
-        named = F.array(*(F.struct(F.lit(i).alias("holder"), _owned(F.col("v"), f.steps).alias("lists")) for i, f in enumerate(holders)))
-        objects = records.select(F.explode(named).alias("h")).select("h.holder", F.explode("h.lists").alias("l")).select("holder", F.explode("l").alias("v"))
-        for r in objects.groupBy("holder").agg(F.schema_of_variant_agg("v").alias("s")).collect():
-            inner[r.holder] = _search(r.s, holders[r.holder].kind.inner, "$", ())[0]
-    for f in outer:
-        own = inner.get(holders.index(f), []) if f.kind.inner else []
-        arrays.append(_rows(f, own))
-    if not arrays:
-        return records.where("false").select("record_id", *(F.lit(None).cast(t).alias(n) for n, t in (("child", "string"), ("key", "string"), ("parent_key", "string"), ("list_path", "string"), ("parent_pos", "bigint"), ("pos", "bigint"), ("item", "variant"))))
-    rows = records.where(F.col("v").isNotNull()).select("record_id", F.explode(F.flatten(F.array(*arrays))).alias("r"))
-    mine = F.concat_ws("/", F.col("record_id").cast("string"), "r.list_path", "r.list_no", "r.parent_pos", "r.pos")
-    held = F.concat_ws("/", F.col("record_id").cast("string"), "r.holder_path", "r.list_no", F.lit("-1"), "r.parent_pos")
-    return rows.select("record_id", "r.child", mine.alias("key"), F.when(F.col("r.parent_pos") < 0, F.col("record_id").cast("string")).otherwise(held).alias("parent_key"), "r.list_path", "r.parent_pos", "r.pos", "r.item")
-
-
-def _owned(root: Column, steps: tuple[str, ...]) -> Column:
-    """The lists reached by steps, each as its own array of objects (their positions count from 0 in each)."""
-    if len(steps) == 1:
-        return F.array(as_items(F.try_variant_get(root, steps[0], "variant")))
-    return F.transform(_spread(root, steps[:-1]), _under(steps[-1]))
-
-
-def _rows(f: Found, inner: list[Found]) -> Column:
-    path = "*".join(f.steps)
-
-    def one(item: Column, list_no: Column, pos: Column) -> Column:
-        made = [F.array(_struct(f.kind.name, path, "", list_no, F.lit(-1), pos, item))]
-        for g in inner:
-            sub = as_items(F.try_variant_get(item, g.steps[0], "variant"))
-            made.append(F.transform(sub, _inner(g, path, list_no, pos)))
-        return F.concat(*made)
-
-    return F.flatten(F.transform(_owned(F.col("v"), f.steps), lambda lst, k: F.flatten(F.transform(lst, lambda x, i: one(x, k, i)))))
-
-
-def _inner(g: Found, path: str, list_no: Column, parent: Column) -> Callable[[Column, Column], Column]:
-    return lambda y, j: _struct(g.kind.name, path + "*" + "*".join(g.steps), path, list_no, parent, j, y)
-
-
-def _struct(child: str, path: str, holder: str, list_no: Column, parent: Column, pos: Column, item: Column) -> Column:
-    return F.struct(
-        F.lit(child).alias("child"), F.lit(path).alias("list_path"), F.lit(holder).alias("holder_path"), list_no.cast("bigint").alias("list_no"),
-        parent.cast("bigint").alias("parent_pos"), pos.cast("bigint").alias("pos"), item.alias("item"),
+    df = with_settings(df, {"spark.sql.variant.allowDuplicateKeys": "true"})
+    records = cut(df.select(F.col(record_id).alias("record_id"), parsed(payload).alias("v")).where(F.col("v").isNotNull()))
+    rid, none = F.col("record_id").cast("string"), F.lit(-1).cast("bigint")
+    root = lambda x, i: F.struct(F.lit(0).alias("site"), F.col("record_id"), F.concat(rid, F.lit("$["), i.cast("string"), F.lit("]")).alias("key"), rid.alias("parent_key"), none.alias("parent_pos"), i.cast("bigint").alias("pos"), x.alias("item"))
+    rows = records.select(F.explode(F.transform(as_items(F.col("v")), root)).alias("row"))
+    sites, fresh = [Site("$", None, None, "")], [0]
+    while fresh:
+        told = {n: sites[n].schema for n in fresh}
+        if unknown := [n for n in fresh if not sites[n].schema]:
+            asked = rows.where(F.col("row.site").isin(unknown)).groupBy("row.site").agg(F.schema_of_variant_agg("row.item").alias("s"))
+            told |= {r.site: r.s for r in asked.collect()}
+        below = [(n, path, site) for n in fresh for path, site in places(told[n], sites[n], kinds)]
+        if not below:
+            break
+        fresh = list(range(len(sites), len(sites) + len(below)))
+        kept = [n for n, s in enumerate(sites) if s.kind]
+        lists = [F.when(F.col("row.site").isin(kept), F.array("row"))] if kept else []
+        lists += [F.when(F.col("row.site") == n, _children(m, sites[n], site, path)) for m, (n, path, site) in zip(fresh, below)]
+        sites += [site for _, _, site in below]
+        rows = rows.select(F.explode(F.flatten(F.array_compact(F.array(*lists)))).alias("row"))
+    wanted = [n for n, s in enumerate(sites) if s.kind]
+    if not wanted:
+        return rows.where("false").select("row.record_id", F.lit("").alias("child"), "row.key", "row.parent_key", F.lit("").alias("list_path"), "row.parent_pos", "row.pos", "row.item")
+    told_of = lambda get: F.element_at(F.create_map(*(F.lit(x) for n in wanted for x in (n, get(sites[n])))), F.col("row.site"))
+    return rows.where(F.col("row.site").isin(wanted)).select(
+        "row.record_id", told_of(lambda s: s.kind.name).alias("child"), "row.key", "row.parent_key", told_of(lambda s: s.path).alias("list_path"), "row.parent_pos", "row.pos", "row.item"
     )
 
 

@@ -101,7 +101,35 @@ d AS (
   UNION ALL SELECT inv_id, 'crc32', ac, bc FROM j WHERE ai IS NOT NULL AND bi IS NOT NULL AND ac <> bc)
 """
 
+_TREE = r"""
+WITH j AS (SELECT record_id, payload FROM machine_records WHERE json_valid(payload)),
+n0 AS (SELECT record_id, '0:' || t.id AS id, '0:' || t.parent AS parent, t.type, t.key, t.atom FROM j, json_tree(j.payload) t),
+n AS (
+  SELECT record_id, id, parent, type, key FROM n0
+  UNION ALL SELECT n0.record_id, n0.id || ':' || t.id, coalesce(n0.id || ':' || t.parent, n0.parent), t.type, coalesce(t.key, n0.key)
+  FROM n0, json_tree(CASE WHEN json_valid(n0.atom->>'$') THEN n0.atom->>'$' END) t WHERE n0.type = 'VARCHAR' AND regexp_matches(n0.atom->>'$', '^\s*[\[{]')),
+k AS (SELECT *, CASE lower(regexp_replace(key, '^[@_]+', '')) WHEN 'rom' THEN 'rom' WHEN 'roms' THEN 'rom' WHEN 'disk' THEN 'disk' WHEN 'disks' THEN 'disk' WHEN 'dipswitch' THEN 'dipswitch' WHEN 'dipswitches' THEN 'dipswitch'
+  WHEN 'diplocation' THEN 'diplocation' WHEN 'diplocations' THEN 'diplocation' WHEN 'location' THEN 'diplocation' WHEN 'locations' THEN 'diplocation'
+  WHEN 'dipvalue' THEN 'dipvalue' WHEN 'dipvalues' THEN 'dipvalue' WHEN 'value' THEN 'dipvalue' WHEN 'values' THEN 'dipvalue' END AS child FROM n),
+o AS (
+  SELECT record_id, id, parent AS holder, child, 0 AS pos FROM k WHERE type = 'OBJECT' AND child IS NOT NULL
+  UNION ALL SELECT x.record_id, x.id, l.parent, l.child, row_number() OVER (PARTITION BY x.record_id, x.parent ORDER BY CAST(x.key AS INT)) - 1
+  FROM k x JOIN k l ON x.record_id = l.record_id AND x.parent = l.id WHERE x.type = 'OBJECT' AND l.type = 'ARRAY' AND l.child IS NOT NULL)
+"""
+
 SQL = {
+    "p4_found": _TREE
+    + """
+SELECT o.record_id, o.child, CASE WHEN o.child IN ('diplocation', 'dipvalue') THEN d.pos ELSE -1 END AS parent_pos, o.pos
+FROM o LEFT JOIN o d ON d.record_id = o.record_id AND d.id = o.holder AND d.child = 'dipswitch' WHERE o.child NOT IN ('diplocation', 'dipvalue') OR d.id IS NOT NULL""",
+    "p4_machines": """
+WITH j AS (SELECT record_id, CAST(payload AS JSON) AS v FROM machine_records WHERE json_valid(payload)),
+p AS (SELECT record_id, unnest([v->'$.body.machine', v->'$.machine', v]) AS m, unnest([1, 2, 3]) AS k FROM j),
+f AS (SELECT record_id, k, CASE WHEN json_type(m) = 'ARRAY' THEN [x FOR x IN CAST(m AS JSON[]) IF json_type(x) = 'OBJECT'][1] WHEN json_type(m) = 'OBJECT' THEN m END AS m FROM p),
+b AS (SELECT record_id, arg_min(m, k) AS m FROM f WHERE m IS NOT NULL GROUP BY record_id)
+SELECT record_id, CAST(record_id AS VARCHAR) AS key, """
+    + ", ".join(f"""coalesce(m->>'$.{n}', m->>'$."@{n}"', m->>'$."_{n}"') AS {n}""" for n in ("name", "description", "year", "cloneof", "sourcefile"))
+    + " FROM j LEFT JOIN b USING (record_id)",
     "p1_found": _SNAPSHOTS.format(fields=_clean("description"), order="description DESC NULLS LAST")
     + """
 SELECT coalesce(o.dat_name, n.dat_name) AS dat_name, coalesce(o.to_version, n.to_version) AS version, coalesce(o.name, n.name) AS name,

@@ -28,12 +28,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder all executors share: `spark.checkpoint.dir` where it is set, else (tests only) a temporary one."""
+    """The folder all executors share: `spark.checkpoint.dir` where it is set. Where it is not, a temporary folder serves a
+    session in local mode, as in tests; on a cluster, whose executors could not read it, that is an error."""
     sc = spark.sparkContext
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="setaudit-checkpoint-")
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="setaudit-checkpoint-")
     sc.setCheckpointDir(folder)
     return folder
 
@@ -55,7 +60,20 @@ def unsized(df: DataFrame) -> DataFrame:
 def spread(df: DataFrame) -> DataFrame:
     """The same rows in at least as many partitions as the cluster has cores.
 
-    For work that is heavy per row over a table that arrives in few splits; a table of enough splits is not shuffled.
+    For work that is heavy per row over a table that arrives in few splits; a table of enough splits is not shuffled. Only
+    a plan without a shuffle is asked for its splits, which plans but runs nothing; after a shuffle the engine has chosen.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+    plan = df._jdf.queryExecution()
+    if "Exchange" in plan.sparkPlan().toString() or "Exchange" in plan.executedPlan().toString():
+        return df
+    return df.repartition(cores) if plan.toRdd().getNumPartitions() < cores else df
+
+
+def with_settings(df: DataFrame, settings: dict[str, str]) -> DataFrame:
+    """The same rows in a copy of their session that has these settings; the caller's session keeps its own."""
+    session = df.sparkSession._jsparkSession.cloneSession()
+    for key, value in settings.items():
+        session.conf().set(key, value)
+    spark = SparkSession(df.sparkSession.sparkContext, session)
+    return DataFrame(spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(session, df._jdf.queryExecution().logical()), spark)

@@ -53,6 +53,27 @@ def test_nested(spark):
     assert got == {i: e for i, (_, e) in enumerate(PAYLOADS) if e} | {95: {("rom", -1, 0)}}
 
 
+def _wrapped(x, levels):
+    for i in range(levels):
+        x = [{f"group{i}": x}] if i % 2 else [{"g": x}, {"z": 1}]
+    return x
+
+
+def test_nested_at_any_depth(spark):
+    rows = [(n, json.dumps({"machine": {"x": _wrapped({"rom": [{"name": "a"}]}, n)}})) for n in (0, 1, 7, 9, 20)]
+    rows += [
+        (50, json.dumps({"dipswitch": [{"n": 1}, {"group": [{"dipvalue": [{}, {"h": [{"dipvalue": {}}]}]}]}]})),
+        (51, json.dumps({"rom": [{"name": "a", "rom": [{"name": "b", "parts": [{"roms": '[{"name":"c"}]'}]}]}]})), (52, json.dumps([[{"rom": [[{"n": 1}], {"n": 2}]}]])),
+    ]
+    found = nested.flatten_records(spark.createDataFrame(rows, "record_id bigint, payload string"), "record_id", "payload").drop("item").collect()
+    assert sorted((r.record_id, r.child, r.parent_pos, r.pos) for r in found if r.record_id < 50) == [(n, "rom", -1, 0) for n in (0, 1, 7, 9, 20)]
+    assert sorted((r.child, r.parent_pos, r.pos) for r in found if r.record_id == 50) == [("dipswitch", -1, 0), ("dipswitch", -1, 1), ("dipvalue", 1, 0), ("dipvalue", 1, 1)]
+    roms = {r.key: r.parent_key for r in found if r.record_id == 51}
+    assert len(roms) == 3 and sorted(p in roms for p in roms.values()) == [False, True, True]
+    assert sorted(r.pos for r in found if r.record_id == 52) == [0, 1]
+    assert spark.conf.get("spark.sql.variant.allowDuplicateKeys") == "false"
+
+
 def test_nested_keys_and_tables(spark):
     df = spark.createDataFrame([(7, json.dumps(PAYLOADS[1][0])), (8, json.dumps({"machine": {"@name": "m", "rom": {"@name": "r"}}}))], "record_id bigint, payload string")
     rows = nested.flatten_records(df, "record_id", "payload").cache()
