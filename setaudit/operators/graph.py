@@ -17,15 +17,8 @@ def edges(sets: DataFrame) -> DataFrame:
     return bios.unionAll(device).unionAll(parent).distinct()
 
 
-def closure(links: DataFrame, stride: int = 4) -> DataFrame:
-    """(root, node, depth): every node reachable from a root, with its least depth; the root itself is not listed.
-
-    The first `stride` rounds go one step each; from then on a round joins the pairs of the outermost depth with all
-    pairs found so near, and so goes `stride` steps. Rounds go on until one brings nothing new, however long the chains.
-    Each round keeps only new pairs, so cycles end and dangling ends stay listed. Its pairs go to the checkpoint folder:
-    the plan does not grow and a lost executor costs no recomputation.
-    """
-    step = cut(links.select(F.col("src").alias("root"), F.col("dst").alias("node")).where("root <> node").distinct().withColumn("depth", F.lit(1)))
+def _rounds(step: DataFrame, stride: int) -> DataFrame:
+    """Pairs of a checkpointed graph, round by round; see `closure`."""
     seen = frontier = near = step
     at, hop = 1, 1
     while True:
@@ -34,12 +27,35 @@ def closure(links: DataFrame, stride: int = 4) -> DataFrame:
         new = cut(grown.join(seen, ["root", "node"], "left_anti"))
         at += hop
         frontier = new.where(F.col("depth") == at)
-        if not new.limit(1).count():
-            break
+        if new.isEmpty():
+            return seen
         seen = seen.unionAll(new)
         if at == stride:
             near, hop = seen, stride
-    return seen
+
+
+def closure(links: DataFrame, stride: int = 4, layers: int = 2) -> DataFrame:
+    """(root, node, depth): every node reachable from a root, with its least depth; the root itself is not listed.
+
+    Most roots are what nothing depends on. They are set aside, `layers` times over, and only the rest, all cycles among it,
+    is closed round by round. The first `stride` rounds go one step each; from then on a round joins the pairs of the
+    outermost depth with all pairs found so near, and so goes `stride` steps, until a round brings nothing new, however long
+    the chains. Each round keeps only new pairs, so cycles end and dangling ends stay listed; its pairs go to the checkpoint
+    folder, so the plan does not grow and a lost executor costs no recomputation. A root set aside then reaches its own
+    nodes and what these reach: one join, whose pairs are never kept. Links with a null end are none.
+    """
+    step = cut(links.select(F.col("src").alias("root"), F.col("dst").alias("node")).where("root <> node").distinct().withColumn("depth", F.lit(1)))
+    core, aside = step, []
+    for _ in range(layers):
+        needed = core.select(F.col("node").alias("root")).distinct()
+        aside.append(core.join(needed, "root", "left_anti"))
+        core = core.join(needed, "root", "left_semi")
+    reach = _rounds(cut(core), stride)
+    for layer in reversed(aside):
+        ahead = reach.select(F.col("root").alias("node"), F.col("node").alias("next"), (F.col("depth") + 1).alias("depth"))
+        far = layer.select("root", "node").join(ahead, "node").select("root", F.col("next").alias("node"), "depth").where("root <> node")
+        reach = reach.unionAll(layer.unionAll(far).groupBy("root", "node").agg(F.min("depth").alias("depth")))
+    return reach
 
 
 def required_items(sets: DataFrame, items: DataFrame) -> DataFrame:

@@ -58,7 +58,7 @@ def parsed(c: Column | str) -> Column:
 
 
 def is_object(v: Column) -> Column:
-    return F.try_variant_get(v, "$", "map<string,variant>").isNotNull()
+    return F.try_variant_get(v, "$", "struct<>").isNotNull()
 
 
 def let(v: Column, f: Callable[[Column], Column]) -> Column:

@@ -31,8 +31,8 @@ st AS (SELECT set_name, required, found, CASE WHEN required = found AND found >
 edges AS (SELECT DISTINCT * FROM (SELECT set_name AS src, bios_set AS dst, 'bios' AS kind FROM sets WHERE bios_set IS NOT NULL
   UNION ALL SELECT d.src, d.dst, 'device' FROM (SELECT set_name AS src, unnest(device_refs) AS dst FROM sets) d WHERE d.dst IN (SELECT set_name FROM sets WHERE is_device)
   UNION ALL SELECT set_name, rom_of, 'parent' FROM sets WHERE rom_of IS NOT NULL)),
-walk AS (SELECT src AS root, dst AS node, 1 AS depth FROM edges WHERE src <> dst UNION SELECT w.root, e.dst, w.depth + 1 FROM walk w JOIN edges e ON w.node = e.src WHERE w.depth < 64 AND w.root <> e.dst),
-clos AS (SELECT root, node, min(depth) AS depth FROM walk GROUP BY root, node)
+clos(root, node, depth) USING KEY (root, node) AS (SELECT DISTINCT src, dst, 1 FROM edges WHERE src <> dst
+  UNION SELECT w.root, e.dst, min(w.depth) + 1 FROM clos w JOIN edges e ON w.node = e.src LEFT JOIN recurring.clos r ON r.root = w.root AND r.node = e.dst WHERE r.root IS NULL AND w.root <> e.dst GROUP BY w.root, e.dst)
 """
 _RANK = "ORDER BY {order}, coalesce(-last_modified, 4611686018427387904), location_path, coalesce(location_entry, ''), inv_id"
 
