@@ -91,11 +91,11 @@ def validate(items: DataFrame, copies: DataFrame) -> DataFrame:
 
 
 def set_status(sets: DataFrame, found: DataFrame, rule: str) -> DataFrame:
-    """(set_name, required, found, status) by one of five named rules. `found` is items with `have` and `status`.
+    """(set_name, required, found, status) by one of four named rules. `found` is items with `have` and `status`.
 
     generic: complete if nothing is missing, items or not; missing if nothing is found. strict: complete needs at least
     one item and no bad dump among those found. index: items without a checksum are ignored, complete needs one found.
-    indexed: complete if all items are found and there is one. direct: a bad dump among those found makes it broken.
+    indexed: complete if all items are found and there is one; `have` is then what `match_items` matched, by name and size too.
     """
     counted = found.where("crc32 IS NOT NULL") if rule == "index" else found
     bad = F.col("have") & (F.col("status") == "baddump")
@@ -107,11 +107,59 @@ def set_status(sets: DataFrame, found: DataFrame, rule: str) -> DataFrame:
         "strict": F.when(none, "missing").when(whole & (F.col("bad") == 0), "complete").otherwise("incomplete"),
         "index": F.when(whole & some, "complete").when(some, "incomplete").otherwise("missing"),
         "indexed": F.when(whole & some, "complete").when(some, "incomplete").otherwise("missing"),
-        "direct": F.when(F.col("bad") > 0, "broken").when(whole & some, "complete").when(some, "incomplete").otherwise("missing"),
     }[rule]
     return per.select("set_name", "required", "found", status.alias("status"))
 
 
+def archive_entries(copies: DataFrame) -> DataFrame:
+    """(stem, entry, crc32): what archives hold, by the archive's cleaned name; of entries of one name the least crc32."""
+    a = copies.where("location_type = 'archive'").select(names.clean_set_name(names.stem(F.col("location_path"))).alias("stem"), F.coalesce("location_entry", "name").alias("entry"), "crc32")
+    return a.groupBy("stem", "entry").agg(F.min("crc32").alias("crc32"))
+
+
+def set_status_direct(sets: DataFrame, items: DataFrame, copies: DataFrame) -> DataFrame:
+    """(set_name, required, found, broken, status): archives judged as they lie, each by the set it is named after.
+
+    An item is found if an entry bears its name, and broken if both have a checksum and these differ. A set with a broken
+    item is broken, one without missing and broken items complete, others incomplete. A set of no archive that a loose file
+    is named after is incomplete with one item found; a set of neither is missing. Several archives of one name are one.
+    """
+    entries = archive_entries(copies)
+    keyed = items.select(F.lower("set_name").alias("stem"), "set_name", F.col("name").alias("entry"), F.col("crc32").alias("want"))
+    each = keyed.join(entries.select("stem", "entry", "crc32", F.lit(True).alias("hit")), ["stem", "entry"], "left")
+    per = each.groupBy("set_name").agg(F.count("*").alias("required"), F.count("hit").alias("found"), F.count_if(F.col("hit") & (F.col("want") != F.col("crc32"))).alias("broken"))
+    lie = entries.select("stem").distinct().withColumn("archive", F.lit(True))
+    loose = copies.where("location_type = 'file'").select(F.lower(names.stem(F.col("location_path"))).alias("stem")).distinct().withColumn("loose", F.lit(True))
+    all_ = sets.select("set_name", F.lower("set_name").alias("stem")).join(per, "set_name", "left").na.fill(0, ["required", "found", "broken"]).join(lie, "stem", "left").join(loose, "stem", "left")
+    status = (
+        F.when(F.col("archive"), F.when(F.col("broken") > 0, "broken").when(F.col("found") == F.col("required"), "complete").otherwise("incomplete"))
+        .when(F.col("loose"), "incomplete").otherwise("missing")
+    )
+    found = F.when(F.col("archive"), F.col("found")).when(F.col("loose"), F.lit(1)).otherwise(F.lit(0))
+    return all_.select("set_name", "required", found.cast("bigint").alias("found"), "broken", status.alias("status"))
+
+
+def hash_matches(copies: DataFrame, items: DataFrame) -> DataFrame:
+    """(inv_id, set_name, name, matches): copies against the items of their name by every value an item states: checksums
+    without regard to case, and the size."""
+    want = items.select("set_name", "name", F.lower("name").alias("lname"), *(F.col(c).alias(f"want_{c}") for c in ("size", "crc32", "sha1", "md5")))
+    both = copies.select("inv_id", F.lower("name").alias("lname"), "size", "crc32", "sha1", "md5").join(want, "lname")
+    same = F.col("size").eqNullSafe(F.col("want_size"))
+    for c in ("crc32", "sha1", "md5"):
+        same = same & (F.col(f"want_{c}").isNull() | F.col(c).eqNullSafe(F.col(f"want_{c}")))
+    return both.select("inv_id", "set_name", "name", same.alias("matches"))
+
+
+def validation_errors(copies: DataFrame, items: DataFrame) -> DataFrame:
+    """(inv_id, set_name, errors): a scanned copy against the items of its name, with the list of what is wrong: a wrong
+    size, crc32 or sha1, the latter two where the item states them."""
+    want = items.select("set_name", F.lower("name").alias("lname"), *(F.col(c).alias(f"want_{c}") for c in ("size", "crc32", "sha1")))
+    both = copies.select("inv_id", F.lower("name").alias("lname"), "size", "crc32", "sha1").join(want, "lname")
+    said = [F.when(~F.col("size").eqNullSafe(F.col("want_size")), "size")]
+    said += [F.when(F.col(f"want_{c}").isNotNull() & ~F.col(c).eqNullSafe(F.col(f"want_{c}")), c) for c in ("crc32", "sha1")]
+    return both.select("inv_id", "set_name", F.array_join(F.array_compact(F.array(*said)), ",").alias("errors"))
+
+
 def parent_clone_groups(sets: DataFrame) -> DataFrame:
     """(parent, clones, n): each parent with its clones in order; parents the catalogue lacks are left out."""
     clones = sets.where("clone_of IS NOT NULL").select(F.col("clone_of").alias("parent"), "set_name")

@@ -43,9 +43,19 @@ def row_hash(key: Column, fields: list[Column]) -> Column:
     return F.xxhash64(key, *(x for f in fields for x in (f.isNull(), f)))
 
 
-def elements(df: DataFrame, key: str, fields: dict[str, Column], sign: int, bucket_keys: int) -> DataFrame:
+def buckets_of(left: DataFrame, right: DataFrame, key: str, bucket_keys: int) -> Column:
+    """The bucket of `k`: ranges of keys where keys lie close, so files in key order combine before the shuffle; else as many
+    buckets as hold `bucket_keys` keys each, by hash. Only the least and greatest key and the number of rows are asked for."""
     k = F.col(key).cast("bigint")
-    return df.where(k.isNotNull()).select(k.alias("k"), row_hash(k, list(fields.values())).alias("h"), F.lit(sign).alias("sign")).withColumn("bucket", F.floor(F.col("k") / bucket_keys))
+    one = left.select(k.alias("k")).unionAll(right.select(k.alias("k"))).agg(F.min("k").alias("low"), F.max("k").alias("high"), F.count("k").alias("n")).first()
+    if one.n == 0 or (one.high - one.low) / one.n <= 4:
+        return F.floor(F.col("k") / bucket_keys)
+    return F.pmod(F.xxhash64("k"), F.lit(max(1, one.n // bucket_keys)))
+
+
+def elements(df: DataFrame, key: str, fields: dict[str, Column], sign: int, bucket: Column) -> DataFrame:
+    k = F.col(key).cast("bigint")
+    return df.where(k.isNotNull()).select(k.alias("k"), row_hash(k, list(fields.values())).alias("h"), F.lit(sign).alias("sign")).withColumn("bucket", bucket)
 
 
 def lookup_tables(rows: DataFrame, third: int) -> DataFrame:
@@ -101,7 +111,7 @@ def differing_keys(cells: DataFrame, third: int) -> DataFrame:
     return cells.where("cnt <> 0 OR key_hi <> 0 OR key_lo <> 0 OR hash_hi <> 0 OR hash_lo <> 0 OR check <> 0").groupBy("bucket").applyInPandas(one, "bucket bigint, key bigint")
 
 
-def fetch(df: DataFrame, key: str, fields: dict[str, Column], latest: str | None, found: DataFrame, bucket_keys: int, n_keys: int, n_buckets: int, broadcast_rows: int) -> DataFrame:
+def fetch(df: DataFrame, key: str, fields: dict[str, Column], latest: str | None, found: DataFrame, bucket: Column, n_keys: int, n_buckets: int, broadcast_rows: int) -> DataFrame:
     """(k, v): of each wanted key the row that counts, v holding the compared fields."""
     k = F.col(key).cast("bigint")
     rows = df.select(k.alias("k"), *(F.col(c).alias("at") for c in [latest] if c), F.struct(*(e.alias(n) for n, e in fields.items())).alias("v"))
@@ -109,7 +119,7 @@ def fetch(df: DataFrame, key: str, fields: dict[str, Column], latest: str | None
     small = (lambda d, n: F.broadcast(d) if n <= broadcast_rows else d)
     if n_buckets:
         whole = found.where("key IS NULL").select("bucket")
-        tagged = rows.withColumn("bucket", F.floor(F.col("k") / bucket_keys))
+        tagged = rows.withColumn("bucket", bucket)
         part = tagged.join(small(whole, n_buckets), "bucket", "left_semi").drop("bucket")
         rest = tagged.join(small(whole, n_buckets), "bucket", "left_anti").drop("bucket")
         rows = part.unionByName(rest.join(small(wanted, n_keys), "k", "left_semi"))
@@ -121,7 +131,7 @@ def fetch(df: DataFrame, key: str, fields: dict[str, Column], latest: str | None
 
 def differences(
     left: DataFrame, right: DataFrame, key: str, fields: dict[str, Column], left_latest: str | None = None, right_latest: str | None = None,
-    missing_right: str = "missing_in_copy", missing_left: str = "missing_in_inventory", bucket_keys: int = 8192, cells_per_key: float = 0.15, broadcast_rows: int = 1_000_000,
+    missing_right: str = "missing_in_copy", missing_left: str = "missing_in_inventory", bucket_keys: int = 8192, cells_per_key: float = 0.15, broadcast_rows: int = 200_000,
 ) -> DataFrame:
     """(key, diff, left_value, right_value): one row per difference between two copies of a table with a bigint key.
 
@@ -130,16 +140,17 @@ def differences(
     key more than once, the row with the greatest `*_latest` counts (ties: the greatest field values). Rows without a
     key cannot be matched and are left out. Empty tables are fine on either side. Columns not named are never read.
 
-    bucket_keys: successive key values per table, so files in key order combine before the shuffle. cells_per_key: cells
-    a table has per key value; about four fifths of the cells can be peeled, more differences take the exact path.
-    broadcast_rows: up to so many differing keys (8 bytes each) are broadcast; more are joined by shuffle.
+    bucket_keys: key values per table, see `buckets_of`. cells_per_key: cells a table has per key value; about four fifths
+    of the cells can be peeled, more differences take the exact path. broadcast_rows: up to so many differing keys (some 20
+    MB as a hash table) are broadcast; more are joined by shuffle.
     """
     third = max(8, int(bucket_keys * cells_per_key / 3))
-    both = elements(left, key, fields, 1, bucket_keys).unionAll(elements(right, key, fields, -1, bucket_keys))
+    bucket = buckets_of(left, right, key, bucket_keys)
+    both = elements(left, key, fields, 1, bucket).unionAll(elements(right, key, fields, -1, bucket))
     found = cut(differing_keys(lookup_tables(both, third), third))
     counts = found.agg(F.count("key").alias("keys"), F.count_if(F.col("key").isNull()).alias("buckets")).first()
     a, b = (
-        fetch(df, key, fields, latest, found, bucket_keys, counts["keys"], counts["buckets"], broadcast_rows)
+        fetch(df, key, fields, latest, found, bucket, counts["keys"], counts["buckets"], broadcast_rows)
         for df, latest in ((left, left_latest), (right, right_latest))
     )
     names = list(fields)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from setaudit.functions import names
-from setaudit.operators import audit, graph, rebuild
+from setaudit.operators import audit, graph, rebuild, search
 from setaudit.session import table
 from setaudit.sinks import documents
 from setaudit.streaming import progress
@@ -18,10 +18,11 @@ SQL: dict[str, str] = {}
 
 _CRC = "nullif(lpad(nullif(regexp_extract(lower(trim(crc32)), '^(?:0x)?([0-9a-f]{1,8})$', 1), ''), 8, '0'), '00000000')"
 _SHA = "CASE WHEN regexp_matches(lower(trim(sha1)), '^[0-9a-f]{40}$') AND NOT regexp_matches(trim(sha1), '^0+$') THEN lower(trim(sha1)) END"
+_MD5 = "CASE WHEN regexp_matches(lower(trim(md5)), '^[0-9a-f]{32}$') AND NOT regexp_matches(trim(md5), '^0+$') THEN lower(trim(md5)) END"
 _BASE = f"""
 WITH RECURSIVE sets AS (SELECT DISTINCT * FROM game_sets),
-items AS (SELECT set_name, name, size, {_CRC} AS crc32, {_SHA} AS sha1, CASE WHEN lower(status) IN ('baddump', 'nodump', 'verified') THEN lower(status) ELSE 'good' END AS status, merge FROM (SELECT DISTINCT * FROM set_items)),
-inv AS (SELECT inv_id, name, size, {_CRC} AS crc32, {_SHA} AS sha1, location_type, location_path, location_entry, last_modified, source_path,
+items AS (SELECT set_name, name, size, {_CRC} AS crc32, {_SHA} AS sha1, {_MD5} AS md5, CASE WHEN lower(status) IN ('baddump', 'nodump', 'verified') THEN lower(status) ELSE 'good' END AS status, merge FROM (SELECT DISTINCT * FROM set_items)),
+inv AS (SELECT inv_id, name, size, {_CRC} AS crc32, {_SHA} AS sha1, {_MD5} AS md5, location_type, location_path, location_entry, last_modified, source_path,
                CASE location_type WHEN 'file' THEN 0 WHEN 'archive' THEN 1 WHEN 'remote' THEN 2 ELSE 3 END AS lr, CASE location_type WHEN 'archive' THEN 0 WHEN 'file' THEN 1 WHEN 'remote' THEN 2 ELSE 3 END AS ar FROM inventory),
 have AS (SELECT DISTINCT crc32 FROM inv WHERE crc32 IS NOT NULL),
 found AS (SELECT i.*, h.crc32 IS NOT NULL AS have FROM items i LEFT JOIN have h ON i.crc32 = h.crc32),
@@ -84,14 +85,32 @@ def set_status_strict(t: Tables) -> DataFrame:
     return t.status("strict")
 
 
-@query("SELECT set_name, required, found, CASE WHEN bad > 0 THEN 'broken' WHEN required = found AND found > 0 THEN 'complete' WHEN found > 0 THEN 'incomplete' ELSE 'missing' END AS status FROM per")
+_CLEAN = "trim(replace(replace(lower(regexp_replace(regexp_extract(location_path, '[^/]*$'), '(.)\\.[^.]*$', '\\1')), '.zip', ''), '.7z', ''))"
+
+
+@query(
+    f"""
+, ent AS (SELECT {_CLEAN} AS stem, coalesce(location_entry, name) AS entry, min(crc32) AS crc32 FROM inv WHERE location_type = 'archive' GROUP BY 1, 2),
+dir AS (SELECT i.set_name, count(*) AS required, count(e.entry) AS found, count(*) FILTER (i.crc32 <> e.crc32) AS broken FROM items i LEFT JOIN ent e ON lower(i.set_name) = e.stem AND i.name = e.entry GROUP BY i.set_name),
+lo AS (SELECT DISTINCT lower(regexp_replace(regexp_extract(location_path, '[^/]*$'), '(.)\\.[^.]*$', '\\1')) AS stem FROM inv WHERE location_type = 'file')
+SELECT s.set_name, coalesce(d.required, 0) AS required, CASE WHEN a.stem IS NOT NULL THEN coalesce(d.found, 0) WHEN lo.stem IS NOT NULL THEN 1 ELSE 0 END AS found, coalesce(d.broken, 0) AS broken,
+       CASE WHEN a.stem IS NULL THEN CASE WHEN lo.stem IS NULL THEN 'missing' ELSE 'incomplete' END WHEN coalesce(d.broken, 0) > 0 THEN 'broken' WHEN coalesce(d.found, 0) = coalesce(d.required, 0) THEN 'complete' ELSE 'incomplete' END AS status
+FROM sets s LEFT JOIN dir d ON s.set_name = d.set_name LEFT JOIN (SELECT DISTINCT stem FROM ent) a ON lower(s.set_name) = a.stem LEFT JOIN lo ON lower(s.set_name) = lo.stem"""
+)
 def set_status_direct(t: Tables) -> DataFrame:
-    return t.status("direct")
+    return audit.set_status_direct(t.sets, t.items, t.copies)
 
 
-@query("SELECT set_name, required, found, CASE WHEN required = found AND found > 0 THEN 'complete' WHEN found > 0 THEN 'incomplete' ELSE 'missing' END AS status FROM per")
+@query(
+    """
+, nms AS (SELECT DISTINCT lower(name) AS lname, size FROM inv),
+hit AS (SELECT i.set_name, h.crc32 IS NOT NULL OR n.lname IS NOT NULL AS have FROM items i LEFT JOIN have h ON i.crc32 = h.crc32 LEFT JOIN nms n ON lower(i.name) = n.lname AND i.size = n.size),
+c AS (SELECT s.set_name, count(hit.have) AS required, count(*) FILTER (hit.have) AS found FROM sets s LEFT JOIN hit ON s.set_name = hit.set_name GROUP BY s.set_name)
+SELECT set_name, required, found, CASE WHEN required = found AND found > 0 THEN 'complete' WHEN found > 0 THEN 'incomplete' ELSE 'missing' END AS status FROM c"""
+)
 def set_status_indexed(t: Tables) -> DataFrame:
-    return t.status("indexed")
+    matched = audit.match_items(t.items, t.copies).withColumn("have", F.col("matched_by").isNotNull())
+    return audit.set_status(t.sets, matched, "indexed")
 
 
 @query("SELECT set_name, name, size, crc32 FROM found WHERE NOT have")
@@ -189,20 +208,53 @@ def missing_report_clones(t: Tables) -> DataFrame:
 # ---- search ---------------------------------------------------------------------------------------------------------
 
 
-@query("SELECT inv_id, crc32 FROM inv WHERE crc32 = (SELECT max(crc32) FROM items)")
+@query("SELECT q.inv_id AS asked, v.inv_id, v.name, v.location_type, row_number() OVER (PARTITION BY q.inv_id ORDER BY v.location_type, v.last_modified DESC NULLS LAST, v.inv_id) AS place FROM inv q JOIN inv v ON q.crc32 = v.crc32 WHERE q.inv_id % 50 = 0")
 def find_by_crc(t: Tables) -> DataFrame:
-    wanted = t.items.agg(F.max("crc32").alias("crc32"))
-    return t.copies.join(F.broadcast(wanted), "crc32", "left_semi").select("inv_id", "crc32")
+    """The copies of the checksums of every row whose id is divisible by 50, in the order of a search."""
+    asked = t.copies.where("inv_id % 50 = 0").select(F.col("inv_id").alias("asked"), F.col("crc32").alias("query"))
+    return search.by_crc(t.copies, asked).select("asked", "inv_id", "name", "location_type", "place")
 
 
-@query("SELECT inv_id, name FROM inv WHERE name ILIKE '%ba%.bin'")
+@query("SELECT v.crc32, first(name ORDER BY location_type, last_modified DESC NULLS LAST, inv_id) AS name, first(size ORDER BY location_type, last_modified DESC NULLS LAST, inv_id) AS size, count(*) AS copies, count(*) > 1 AS duplicate, string_agg(inv_id, ',' ORDER BY location_type, last_modified DESC NULLS LAST, inv_id) AS locations FROM inv v WHERE crc32 IS NOT NULL GROUP BY v.crc32")
+def rom_info(t: Tables) -> DataFrame:
+    return search.rom_info(t.copies)
+
+
+@query("SELECT inv_id, name, location_type FROM inv WHERE name ILIKE '%ba%.bin' ORDER BY name, location_type, inv_id LIMIT 100")
 def find_by_name_like(t: Tables) -> DataFrame:
-    return t.copies.where(F.col("name").ilike("%ba%.bin")).select("inv_id", "name")
+    return search.by_name(t.copies, "%ba%.bin", limit=100).select("inv_id", "name", "location_type")
+
 
+@query("SELECT q.set_name, q.name, count(*) AS copies FROM items q JOIN inv v ON lower(q.name) = lower(v.name) GROUP BY q.set_name, q.name")
+def find_by_exact_name(t: Tables) -> DataFrame:
+    return search.exact(t.copies, t.items.select("set_name", "name"), "name").groupBy("set_name", "name").agg(F.count("*").alias("copies"))
 
-@query("SELECT inv_id, size FROM inv WHERE size BETWEEN 1000 AND 20000")
+
+@query("SELECT inv_id, size FROM inv WHERE size BETWEEN 1000 AND 20000 ORDER BY size, inv_id")
 def find_by_size_range(t: Tables) -> DataFrame:
-    return t.copies.where(F.col("size").between(1000, 20000)).select("inv_id", "size")
+    return search.by_size(t.copies, 1000, 20000).select("inv_id", "size")
+
+
+@query("SELECT inv_id, size FROM inv WHERE size >= 1000000 ORDER BY size, inv_id")
+def find_by_least_size(t: Tables) -> DataFrame:
+    return search.by_size(t.copies, least=1_000_000).select("inv_id", "size")
+
+
+@query("SELECT DISTINCT i.set_name, q.set_name AS asked_for FROM items i JOIN (SELECT DISTINCT set_name, crc32 FROM items WHERE crc32 IS NOT NULL AND crc32 LIKE '%00') q ON i.crc32 = q.crc32")
+def find_games_by_crc(t: Tables) -> DataFrame:
+    """The sets that hold any content of another set, for all contents whose checksum ends in 00."""
+    asked = t.items.where(F.col("crc32").endswith("00")).select(F.col("set_name").alias("asked_for"), F.col("crc32").alias("query")).distinct()
+    return search.games_by_crc(t.items, asked).select("set_name", "asked_for")
+
+
+@query("SELECT clone_of AS asked_for, set_name FROM sets WHERE clone_of IS NOT NULL")
+def clones_of(t: Tables) -> DataFrame:
+    return search.clones_of(t.sets, t.sets.select(F.col("set_name").alias("p"))).unionByName(search.clones_of_absent(t.sets))
+
+
+@query("SELECT coalesce(crc32, 'unknown') AS key, count(*) AS copies, min(name) AS name FROM inv WHERE name ILIKE '%ba%' GROUP BY 1 ORDER BY name, key")
+def search_grouped(t: Tables) -> DataFrame:
+    return search.grouped(search.by_name(t.copies, "%ba%"))
 
 
 @query("SELECT set_name, description FROM sets WHERE contains(lower(description), 'quest')")
@@ -483,6 +535,16 @@ def validation(t: Tables) -> DataFrame:
     return i.select("inv_id", (F.col("crc32") == F.col("c")).alias("crc_ok"), (F.col("sha1").isNull() | F.col("s").isNull() | (F.col("sha1") == F.col("s"))).alias("sha_ok"), (F.col("size") == F.col("z")).alias("size_ok"))
 
 
+@query("SELECT i.inv_id, m.set_name, m.name, i.size IS NOT DISTINCT FROM m.size AND (m.crc32 IS NULL OR i.crc32 IS NOT DISTINCT FROM m.crc32) AND (m.sha1 IS NULL OR i.sha1 IS NOT DISTINCT FROM m.sha1) AND (m.md5 IS NULL OR i.md5 IS NOT DISTINCT FROM m.md5) AS matches FROM inv i JOIN items m ON lower(i.name) = lower(m.name)")
+def hash_matches(t: Tables) -> DataFrame:
+    return audit.hash_matches(t.copies, t.items)
+
+
+@query("SELECT i.inv_id, m.set_name, array_to_string(list_filter([CASE WHEN i.size IS DISTINCT FROM m.size THEN 'size' END, CASE WHEN m.crc32 IS NOT NULL AND i.crc32 IS DISTINCT FROM m.crc32 THEN 'crc32' END, CASE WHEN m.sha1 IS NOT NULL AND i.sha1 IS DISTINCT FROM m.sha1 THEN 'sha1' END], lambda x: x IS NOT NULL), ',') AS errors FROM inv i JOIN items m ON lower(i.name) = lower(m.name)")
+def validation_errors(t: Tables) -> DataFrame:
+    return audit.validation_errors(t.copies, t.items)
+
+
 @query("SELECT *, coalesce(crc_ok AND sha_ok, false) AS valid FROM (SELECT i.inv_id, m.crc32, m.sha1, m.size, CASE WHEN m.crc32 IS NULL THEN false ELSE i.crc32 = m.crc32 END AS crc_ok, (i.sha1 IS NULL OR m.sha1 IS NULL OR i.sha1 = m.sha1) AS sha_ok, i.size = m.size AS size_ok FROM inv i JOIN (SELECT DISTINCT lower(name) AS lname, crc32, sha1, size FROM items) m ON lower(i.name) = m.lname)")
 def validation_all(t: Tables) -> DataFrame:
     """Every copy against every content expected under its name; `validation` asks only names of one item, as its SQL does."""
