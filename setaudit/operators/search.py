@@ -69,15 +69,18 @@ def clones_of_absent(sets: DataFrame) -> DataFrame:
 
 
 def rom_info(copies: DataFrame) -> DataFrame:
-    """(crc32, name, size, copies, duplicate, locations): one record per checksum; name and size of the copy shown first.
-
-    `locations` lists the ids of all copies in order; that list grows with a content's copies, everything else is
-    aggregated within each partition first.
-    """
+    """(crc32, name, size, copies, duplicate): one record per checksum; name and size of the copy shown first. The places of
+    its copies are rows of `duplicate_places` or `by_crc`: a list of them would grow with a content's copies."""
     row = F.struct("location_type", F.coalesce(-F.col("last_modified"), F.lit(2**62)).alias("age"), "inv_id", "name", "size")
-    per = copies.where("crc32 IS NOT NULL").groupBy("crc32").agg(F.array_sort(F.collect_list(row)).alias("rows"))
-    first = F.element_at("rows", 1)
-    return per.select("crc32", first["name"].alias("name"), first["size"].alias("size"), F.size("rows").cast("bigint").alias("copies"), (F.size("rows") > 1).alias("duplicate"), F.array_join(F.transform("rows", lambda r: r["inv_id"].cast("string")), ",").alias("locations"))
+    per = copies.where("crc32 IS NOT NULL").groupBy("crc32").agg(F.min(row).alias("first"), F.count("*").alias("copies"))
+    return per.select("crc32", "first.name", "first.size", "copies", (F.col("copies") > 1).alias("duplicate"))
+
+
+def duplicate_places(copies: DataFrame) -> DataFrame:
+    """(crc32, copies, place, inv_id): every copy of contents that have more than one, a row each."""
+    many = copies.where("crc32 IS NOT NULL").groupBy("crc32").agg(F.count("*").alias("copies")).where("copies > 1")
+    place = F.concat("location_path", F.coalesce(F.concat(F.lit("::"), "location_entry"), F.lit("")))
+    return copies.join(many, "crc32").select("crc32", "copies", place.alias("place"), "inv_id")
 
 
 def grouped(found: DataFrame) -> DataFrame:

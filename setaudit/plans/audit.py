@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from setaudit.functions import names
-from setaudit.operators import audit, graph, rebuild, search
+from setaudit.operators import audit, graph, rebuild, reports, search
 from setaudit.session import table
 from setaudit.sinks import documents
 from setaudit.streaming import progress
@@ -21,7 +21,7 @@ _SHA = "CASE WHEN regexp_matches(lower(trim(sha1)), '^[0-9a-f]{40}$') AND NOT re
 _MD5 = "CASE WHEN regexp_matches(lower(trim(md5)), '^[0-9a-f]{32}$') AND NOT regexp_matches(trim(md5), '^0+$') THEN lower(trim(md5)) END"
 _BASE = f"""
 WITH RECURSIVE sets AS (SELECT DISTINCT * FROM game_sets),
-items AS (SELECT set_name, name, size, {_CRC} AS crc32, {_SHA} AS sha1, {_MD5} AS md5, CASE WHEN lower(status) IN ('baddump', 'nodump', 'verified') THEN lower(status) ELSE 'good' END AS status, merge FROM (SELECT DISTINCT * FROM set_items)),
+items AS (SELECT set_name, name, size, {_CRC} AS crc32, {_SHA} AS sha1, {_MD5} AS md5, CASE WHEN lower(status) IN ('baddump', 'nodump', 'verified') THEN lower(status) WHEN lower(status) = 'bad' THEN 'baddump' ELSE 'good' END AS status, merge FROM (SELECT DISTINCT * FROM set_items)),
 inv AS (SELECT inv_id, name, size, {_CRC} AS crc32, {_SHA} AS sha1, {_MD5} AS md5, location_type, location_path, location_entry, last_modified, source_path,
                CASE location_type WHEN 'file' THEN 0 WHEN 'archive' THEN 1 WHEN 'remote' THEN 2 ELSE 3 END AS lr, CASE location_type WHEN 'archive' THEN 0 WHEN 'file' THEN 1 WHEN 'remote' THEN 2 ELSE 3 END AS ar FROM inventory),
 have AS (SELECT DISTINCT crc32 FROM inv WHERE crc32 IS NOT NULL),
@@ -215,7 +215,7 @@ def find_by_crc(t: Tables) -> DataFrame:
     return search.by_crc(t.copies, asked).select("asked", "inv_id", "name", "location_type", "place")
 
 
-@query("SELECT v.crc32, first(name ORDER BY location_type, last_modified DESC NULLS LAST, inv_id) AS name, first(size ORDER BY location_type, last_modified DESC NULLS LAST, inv_id) AS size, count(*) AS copies, count(*) > 1 AS duplicate, string_agg(inv_id, ',' ORDER BY location_type, last_modified DESC NULLS LAST, inv_id) AS locations FROM inv v WHERE crc32 IS NOT NULL GROUP BY v.crc32")
+@query("SELECT v.crc32, first(name ORDER BY location_type, last_modified DESC NULLS LAST, inv_id) AS name, first(size ORDER BY location_type, last_modified DESC NULLS LAST, inv_id) AS size, count(*) AS copies, count(*) > 1 AS duplicate FROM inv v WHERE crc32 IS NOT NULL GROUP BY v.crc32")
 def rom_info(t: Tables) -> DataFrame:
     return search.rom_info(t.copies)
 
@@ -396,11 +396,7 @@ def match_composite(t: Tables) -> DataFrame:
 
 @query("SELECT set_name, name, count(*) AS sources FROM (SELECT i.set_name, i.name, v.location_path, coalesce(v.location_entry, '') FROM items i JOIN inv v ON i.crc32 = v.crc32 UNION SELECT i.set_name, i.name, v.location_path, coalesce(v.location_entry, '') FROM items i JOIN inv v ON lower(i.name) = lower(v.name) AND i.size = v.size) GROUP BY set_name, name")
 def all_sources(t: Tables) -> DataFrame:
-    places = t.copies.select("crc32", F.lower("name").alias("lname"), "size", "location_path", F.coalesce("location_entry", F.lit("")).alias("entry"))
-    items = t.items.withColumn("lname", F.lower("name"))
-    by_crc = items.select("set_name", "name", "crc32").join(places.select("crc32", "location_path", "entry").distinct(), "crc32").drop("crc32")
-    by_name = items.select("set_name", "name", "lname", "size").join(places.select("lname", "size", "location_path", "entry").distinct(), ["lname", "size"]).drop("lname", "size")
-    return by_crc.unionByName(by_name).distinct().groupBy("set_name", "name").agg(F.count("*").alias("sources"))
+    return reports.source_counts(t.items, t.copies)
 
 
 _STEM = "trim(lower(regexp_replace(regexp_extract(location_path, '[^/]*$'), '(.)\\.[^.]*$', '\\1')))"

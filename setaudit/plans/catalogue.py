@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from setaudit.plans import audit, training
+from setaudit.plans import audit, reports, training  # noqa: F401  reports adds to audit's queries
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -1,5 +1,6 @@
 import io
 import json
+import time
 import zipfile
 import zlib
 from datetime import datetime
@@ -9,10 +10,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from setaudit.functions import checksums, names
-from setaudit.operators import audit, graph, nested, rebuild, reconcile, snapshots
+from setaudit.operators import audit, graph, nested, rebuild, reconcile, reports, search, snapshots
 from setaudit.plans import catalogue
 from setaudit.sinks import archives, documents
-from setaudit.sources import catalog, files
+from setaudit.sources import catalog, files, index
 from setaudit.streaming import progress
 
 GAMES = "dat_name string, version string, delivered_at timestamp, name string, description string, extra string"
@@ -127,7 +128,46 @@ def test_status_rules(spark):
     of = lambda rule: {r.set_name: r.status for r in audit.set_status(sets, items, rule).collect()}
     assert of("index") == {"whole": "complete", "part": "incomplete", "none": "missing", "empty": "missing"}
     assert of("generic") == {"whole": "incomplete", "part": "incomplete", "none": "missing", "empty": "complete"}
-    assert of("strict")["empty"] == "missing" and of("direct")["whole"] == "broken"
+    assert of("strict")["empty"] == "missing" and of("indexed")["whole"] == "incomplete"
+
+
+COPIES = "inv_id bigint, name string, size bigint, crc32 string, sha1 string, md5 string, location_type string, location_path string, location_entry string, last_modified bigint, source_path string"
+
+
+def copy(i, name, crc, kind="file", path=None, entry=None, size=1, sha1=None, md5=None, lm=1):
+    return (i, name, size, crc, sha1, md5, kind, path or f"/r/{name}", entry, lm, "/r")
+
+
+def test_status_of_archives_as_they_lie(spark):
+    sets = spark.createDataFrame([a_set(n) for n in ("whole", "wrong", "part", "loose", "none")], SETS)
+    items = spark.createDataFrame([("whole", "a", "c1"), ("wrong", "a", "c1"), ("wrong", "b", "c2"), ("part", "a", None), ("part", "b", "c2"), ("loose", "a", "c1"), ("none", "a", "c1")], "set_name string, name string, crc32 string")
+    copies = [copy(1, "a", "c1", "archive", "/x/Whole.zip", "a"), copy(2, "a", "c9", "archive", "/x/wrong.zip", "a"), copy(3, "a", "c5", "archive", "/x/part.zip", "a"), copy(4, "loose.bin", "c1")]
+    got = {r.set_name: (r.required, r.found, r.broken, r.status) for r in audit.set_status_direct(sets, items, spark.createDataFrame(copies, COPIES)).collect()}
+    assert got == {"whole": (1, 1, 0, "complete"), "wrong": (2, 1, 1, "broken"), "part": (2, 1, 0, "incomplete"), "loose": (1, 1, 0, "incomplete"), "none": (1, 0, 0, "missing")}
+
+
+def test_search(spark):
+    rows = [copy(1, "Mario.rom", "aa", size=100, lm=5), copy(2, "sonic.rom", "aa", "archive", size=1000, lm=None), copy(3, "zelda.rom", "bb", size=10000), copy(4, "mario.rom", "aa", size=None, lm=9)]
+    c = spark.createDataFrame(rows, COPIES)
+    ids = lambda df: [r.inv_id for r in df.collect()]
+    assert ids(search.by_crc(c, " AA")) == [2, 4, 1] and ids(search.by_name(c, "%mario%")) == [1, 4] and ids(search.by_name(c, "%", 2)) == [1, 4]
+    assert ids(search.by_size(c, 0, 500)) == [1] and ids(search.by_size(c, least=5000)) == [3] and ids(search.by_size(c)) == [4, 1, 2, 3]
+    assert [(r.crc32, r.copies, r.duplicate) for r in search.rom_info(c).orderBy("crc32").collect()] == [("aa", 3, True), ("bb", 1, False)]
+    assert {r.name for r in search.exact(c, spark.createDataFrame([("MARIO.ROM",), (None,)], "name string"), "name").collect()} == {"MARIO.ROM"}
+    assert search.rom_info(c.limit(0)).count() == 0 and [r["key"] for r in search.grouped(c).collect()] == ["aa", "bb"]
+
+
+def test_plans(spark):
+    rows = [copy(1, "Game (USA).bin", "aa"), copy(2, "Game [!].bin", "bb"), copy(3, "Kept.bin", "cc"), copy(4, "GAME (usa).bin", "dd", "archive", "/r/z.zip", "e")]
+    c = spark.createDataFrame(rows, COPIES)
+    assert {r.source: (r.target, r.action) for r in reports.clean_names_plan(c).collect()} == {"/r/Game (USA).bin": ("/r/Game.bin", "rename"), "/r/Game [!].bin": ("/r/Game.bin", "skip"), "/r/Kept.bin": ("/r/Kept.bin", "keep")}
+    assert {r.inv_id: r.action for r in reports.consolidate_plan(c, "/out").collect()} == {1: "copy", 2: "copy", 3: "copy", 4: "collision"}
+    sets = spark.createDataFrame([a_set("z"), a_set("kept", clone="z")], SETS)
+    assert {(r.target, r.action) for r in reports.organize_plan(sets, c, "custom", "/s", F.lower("manufacturer")).collect()} == {("/s/m/z.zip", "move"), ("/s/m/Kept.bin", "move")}
+    items = spark.createDataFrame([("z", "other", 1, None), ("z", "Game (usa).bin", 7, None), ("z", "x", 1, "bb"), ("z", "Kept.bin", 1, "ee")], "set_name string, name string, size bigint, crc32 string")
+    assert {r.name: (r.matched_by, r.inv_id) for r in reports.match_without_fallback(items, c).collect()} == {"other": (None, None), "Game (usa).bin": ("name", 1), "x": ("crc32", 2), "Kept.bin": (None, None)}
+    counted = {r.name: r.sources for r in reports.source_counts(items.withColumn("crc32", F.when(F.col("name") == "x", "bb").otherwise(F.when(F.col("name") == "Kept.bin", "cc"))), c).collect()}
+    assert counted == {"x": 1, "Kept.bin": 1}
 
 
 def test_validate_names_of_several_items(spark):
@@ -174,24 +214,158 @@ def test_functions(spark):
 
 XML = """<?xml version="1.0"?><!DOCTYPE datafile><datafile><header><name>Cat</name><version>1</version></header>
 <game name="g" cloneof="p"><description>G &amp; H</description><year>2024</year><rom name="t.bin" size="1024" crc="ABCDEF01"/><rom name="bad" size="x"/></game></datafile>"""
+MACHINES = """<?xml version="1.0"?><mame build="0.256" debug="no"><machine name="005" sourcefile="sega/segag80r.cpp" deviceref_0="z80" runnable="yes"><description>005</description><year>1981</year><manufacturer>Sega</manufacturer>
+<biosset name="b" description="B" default="yes"/><rom name="a.rom" size="2048" crc="AA"/><disk name="d" sha1="ff"/><device_ref name="i8035"/><sample name="s1"/><chip type="cpu" tag="maincpu" name="Zilog Z80" clock="3867000"/><display tag="screen" type="raster" rotate="270" width="256" height="224" refresh="60.0"/>
+<sound channels="1"/><input players="2" coins="2"><control type="joy" player="1" ways="4"/></input><dipswitch name="Coin A" tag="D1" mask="7"><diplocation name="SW1" number="1"/><dipvalue name="4/1" value="4"/><dipvalue name="3/1" value="5" default="yes"/></dipswitch><driver status="imperfect" emulation="good"/><feature type="sound" status="imperfect"/></machine></mame>"""
 
 
 def test_catalogue_and_files(spark, tmp_path):
     (tmp_path / "c.xml").write_text(XML)
-    sets = catalog.read_sets(spark, str(tmp_path / "c.xml"))
-    assert [(r.set_name, r.description, r.clone_of) for r in sets.collect()] == [("g", "G & H", "p")]
+    at = str(tmp_path / "c.xml")
+    sets = catalog.read_sets(spark, at)
+    assert catalog.detect(at) == "logiqx" and [(r.set_name, r.description, r.clone_of) for r in sets.collect()] == [("g", "G & H", "p")]
     assert [(r.name, r.size, r.crc32) for r in catalog.items(sets).collect()] == [("t.bin", 1024, "abcdef01")]
-    assert catalog.header(spark, str(tmp_path / "c.xml")).first().name == "Cat"
+    assert catalog.header(spark, at).first().name == "Cat"
+    assert catalog.read_cached(spark, at, str(tmp_path / "cache"), 1).count() == catalog.read_cached(spark, at, str(tmp_path / "cache"), 2).count() == 1
+    assert len(list((tmp_path / "cache").iterdir())) == 1
     box = tmp_path / "roms"
     box.mkdir()
     (box / "a.bin").write_bytes(b"TestData")
     (box / "bad.zip").write_bytes(b"no archive")
-    (box / "s.zip").write_bytes(archives.packed([("B.rom", b"1"), ("a.rom", b"22")]))
+    (box / ".hidden.bin").write_bytes(b"x")
+    (box / "notes.txt").write_bytes(b"x")
+    (box / "s.zip").write_bytes(archives.packed([("B.rom", b"1"), ("a.rom", b"22"), ("sub/readme.txt", b"no")]))
     rows = {r.name: r for r in files.inventory(spark, str(box)).collect()}
-    assert rows["a.bin"].crc32 == "c0a1fb36" and rows["a.rom"].size == 2 and rows["bad.zip"].error and len(rows) == 4
+    assert rows["a.bin"].crc32 == "c0a1fb36" and rows["a.bin"].md5 and rows["a.rom"].size == 2 and rows["a.rom"].last_modified == 851470320 and rows["bad.zip"].error and len(rows) == 4
     listed = files.scan(spark, str(box))
-    assert {r.path.rsplit("/", 1)[1]: r.canonical for r in archives.check(listed.where("is_archive")).collect()} == {"bad.zip": None, "s.zip": True}
+    assert [r.path.rsplit("/", 1)[1] for r in listed.collect()] == ["a.bin", "bad.zip", "notes.txt", "s.zip"]
+    checked = archives.check(listed.where("is_archive"))
+    assert {r.path.rsplit("/", 1)[1]: r.canonical for r in checked.collect()} == {"bad.zip": None, "s.zip": True} and tuple(archives.check_counts(checked).first()) == (1, 0, 1)
     assert files.stale(files.inventory(spark, str(box)), listed.where("NOT is_archive")).count() == 3
+    got = {r.entry: (r.crc32, bytes(r.content or b""), r.error is None) for r in files.extract(listed.where("is_archive")).collect()}
+    assert got["B.rom"] == (f"{zlib.crc32(b'1'):08x}", b"1", True) and got[None][2] is False
+    items = spark.createDataFrame([("s", "B.rom", 1, "00000000", None), ("s", "a.rom", 2, None, None)], "set_name string, name string, size bigint, crc32 string, sha1 string")
+    assert {r.entry: r.errors for r in files.scanned_entries(listed.where("ext = 'zip'"), items).collect()} == {"B.rom": "crc32", "a.rom": ""}
+    out = archives.extract_all(listed.where("path LIKE '%s.zip'"), str(tmp_path / "out")).collect()
+    assert {r.action for r in out} == {"written"} and (tmp_path / "out/s/B.rom").read_bytes() == b"1"
+    assert bytes(archives.convert(listed.where("path LIKE '%s.zip'")).first().content).startswith(b"PK")
+
+
+def test_machine_documents(spark, tmp_path):
+    at = tmp_path / "m.xml"
+    at.write_text(MACHINES)
+    assert catalog.detect(str(at)) == "machines"
+    m = catalog.read_sets(spark, str(at))
+    r = m.first()
+    assert (r.set_name, r.manufacturer, r.device_refs) == ("005", "Sega", ["i8035", "z80"]) and r.driver[0]["_status"] == "imperfect"
+    assert catalog.parts(m, "chip").first().clock == "3867000" and [len(x.dipvalue) for x in catalog.parts(m, "dipswitch").collect()] == [2]
+    assert catalog.parts(m, "disk").first().sha1 == "ff" and catalog.parts(m, "display").first().width == "256"
+    assert catalog.header(spark, str(at), required=False).first().name == "0.256"
+    with pytest.raises(ValueError):
+        catalog.header(spark, str(at)).first()
+    catalog.register(catalog.Format("mine", "m", catalog.GAME, lambda t: "<mine" in t))
+    assert "mine" in catalog.available()
+    catalog.unregister("mine")
+    with pytest.raises(ValueError):
+        catalog.handler("mine")
+
+
+def test_sqlite_catalogue(spark, tmp_path):
+    import sqlite3
+
+    with sqlite3.connect(tmp_path / "c.db") as db:
+        db.execute("CREATE TABLE machines (name TEXT, description TEXT, year TEXT)")
+        db.executemany("INSERT INTO machines VALUES (?, ?, ?)", [("a", "A", "1990"), ("b", None, None), (None, "x", "1")])
+    assert [tuple(r) for r in catalog.read_sqlite(spark, str(tmp_path / "c.db"), batch=2).orderBy("set_name").collect()] == [("a", "A", "1990", None), ("b", "b", None, None)]
+
+
+def test_content_detection(spark):
+    samples = [(b"NES\x1a" + bytes(100), "xyz", True), (b"plain text " * 20, "xyz", False), (bytes(range(256)) * 4, "xyz", True), (b"%PDF-1.4" + bytes(range(128, 256)), "", False), (b"", "xyz", False), (bytes(2000), "xyz", False), (b"any", "nes", True), (bytes(range(256)), "txt", False), (bytes(0x100) + b"SEGA" + bytes(9), "", True)]
+    df = spark.createDataFrame([(i, bytearray(c), e) for i, (c, e, _) in enumerate(samples)], "i int, content binary, ext string")
+    got = {r.i: r.yes for r in df.select("i", files.looks_like_content(F.col("content"), F.col("ext")).alias("yes")).collect()}
+    assert got == {i: yes for i, (_, _, yes) in enumerate(samples)}
+
+
+def test_stored_index(spark, tmp_path):
+    box, place = tmp_path / "roms", str(tmp_path / "index")
+    box.mkdir()
+    for n in ("rom1", "rom2"):
+        (box / f"{n}.bin").write_bytes(n.encode())
+    i = index.Index(spark, place)
+    assert i.roms().count() == 0 and i.sources().count() == 0
+    assert i.add(str(box)) and not i.add(str(box)) and i.roms().count() == 2
+    for n in ("rom3", "rom4"):
+        (box / f"{n}.bin").write_bytes(n.encode())
+    assert i.refresh() == 4 and i.refresh(["/nowhere"]) == 0
+    (box / "rom1.bin").unlink()
+    (box / "rom3.bin").unlink()
+    assert i.verify() == (2, 2) and i.roms().count() == 4 and i.verify(remove_stale=True) == (2, 2) and i.roms().count() == 2
+    row = i.roms().where("name = 'rom2.bin'").withColumn("size", F.lit(99).cast("bigint"))
+    assert i.upsert(str(box), row).rom_count == 2 and i.roms().agg(F.max("size")).first()[0] == 99
+    before = i.versions()[-1]
+    assert i.remove(str(box)) == 2 and i.remove(str(box)) == 0 and i.roms().count() == 0 and i.roms(before).count() == 2
+    i.upsert("/other", i.roms(before))
+    stale_reader = i.versions()[:-1]
+    with pytest.raises(index.Conflict):
+        i._commit(stale_reader, {})
+    i.optimize()
+    assert i.roms().count() == 2 and len(i.versions()) == 1 and json.loads(i.statistics())["rom_count"] == 2 and i.outdated(2**40) == ["/other"]
+    i.clear()
+    assert i.roms().count() == 0
+
+
+def test_documents(spark, tmp_path):
+    import xml.etree.ElementTree as ET
+
+    sets = spark.createDataFrame([a_set("b&c"), a_set("a", clone="b&c"), a_set("whole")], SETS)
+    found = spark.createDataFrame([("b&c", 'r"1', 5, "aa", None, "good", False), ("a", "r2", 6, None, "bb", "baddump", False), ("whole", "r", 1, "cc", None, "good", True)], "set_name string, name string, size bigint, crc32 string, sha1 string, status string, have boolean")
+    missing = found.where("NOT have")
+    disks = spark.createDataFrame([("a", "dk", "EE")], "set_name string, name string, sha1 string")
+    documents.write_fixdat(sets, missing, str(tmp_path / "f.xml"), "F & G", disks=disks)
+    root = ET.parse(tmp_path / "f.xml").getroot()
+    assert root.find("header/name").text == "F & G" and [g.get("name") for g in root.findall("game")] == ["a", "b&c"] and root.find("game/disk").get("sha1") == "ee"
+    documents.write_fixdat(sets, missing, str(tmp_path / "f.dat"), "F", "clrmamepro")
+    assert (tmp_path / "f.dat").read_text().startswith("clrmamepro (") and (tmp_path / "f.dat").read_text().count("game (") == 2
+    again = catalog.read_sets(spark, str(tmp_path / "f.xml"))
+    assert catalog.items(again).count() == 2 and catalog.parts(again, "disk").count() == 1
+    report = reports.missing_report(sets, found, "missing_count")
+    documents.write_html("R", report, str(tmp_path / "r.html"), "set_name")
+    assert (tmp_path / "r.html").read_text().count("<tr>") == 3 and "b&amp;c" in (tmp_path / "r.html").read_text()
+    documents.write_missing_text(report, found, str(tmp_path / "r.txt"))
+    assert "[Clone] a - a: 1 of 1 missing" in (tmp_path / "r.txt").read_text()
+    st = audit.set_status(sets, found, "generic")
+    documents.write_analysis(reports.audit_details(st, found), str(tmp_path / "an"))
+    assert {(r.status, r.set_name, r.missing) for r in documents.read_analysis(spark, str(tmp_path / "an")).collect()} == {("missing", "a", "r2"), ("missing", "b&c", 'r"1')}
+    for form in ("csv", "json", "xml"):
+        documents.export_sets(sets, found, str(tmp_path / form), form)
+    assert spark.read.csv(str(tmp_path / "csv"), header=True).count() == 3 and spark.read.json(str(tmp_path / "json")).count() == 3
+    health = spark.createDataFrame([(75.0,)], "health double")
+    assert "75.0" in documents.text_report("T", st.agg(F.count("*").alias("n")), health) and json.loads(documents.statistics_json(health)) == {"health": 75.0}
+
+
+def test_rebuild_to_archives(spark, tmp_path):
+    (tmp_path / "x.bin").write_bytes(b"content")
+    (tmp_path / "s.zip").write_bytes(archives.packed([("e", b"packed")]))
+    plan = spark.createDataFrame([("set", "a", "file", str(tmp_path / "x.bin"), None), ("set", "b", "archive", str(tmp_path / "s.zip"), "e"), ("set", "c", "file", str(tmp_path / "gone"), None)], "archive string, name string, location_type string, location_path string, location_entry string")
+    read = archives.read_contents(plan)
+    assert read.where("error IS NOT NULL").count() == 1
+    made = archives.write_files(archives.build(read.where("error IS NULL")), "archive", str(tmp_path / "out"), ".zip")
+    assert [r.action for r in made.collect()] == ["written"] and [r.action for r in made.collect()] == ["skipped"]
+    with zipfile.ZipFile(tmp_path / "out/set.zip") as z:
+        assert {n: z.read(n) for n in z.namelist()} == {"a": b"content", "b": b"packed"}
+
+
+def test_more_functions(spark):
+    one = spark.range(1)
+    get = lambda c: one.select(c.alias("x")).first().x
+    assert [get(names.parse_number(F.lit(x))) for x in ("0x1F", "12", "-3", "1.5", "", None)] == [31, 12, -3, None, None, None]
+    assert [get(names.parse_bool(F.lit(x))) for x in ("YES", "1", "no", None)] == [True, True, False, False]
+    assert get(names.dump_status(F.lit("bad"))) == "baddump" and get(names.percent_text(F.lit(0.125))) == "12.5%" and get(names.health_sign(F.lit(70.0))) == "fair"
+    assert get(names.bytes_in(F.lit(1536), "binary")) == "1.5 KiB" and get(names.bytes_in(F.lit(999))) == "999 bytes"
+    at = F.to_timestamp(F.lit("1996-12-24 23:32:08"))
+    packed_time = names.dos_parts(at)
+    assert str(get(names.dos_time(packed_time["date"], packed_time["time"]))) == "1996-12-24 23:32:08" and get(names.dos_time(F.lit(0), F.lit(0))) is None
+    assert catalog.cache_key("/a b/c:d.xml", 5) == "_a_b_c_d.xml_5" and get(checksums.composite_key(F.lit("AB"), F.lit(5))) == "ab_5"
 
 
 def test_archive_build(spark):
@@ -207,3 +381,22 @@ def test_stream_of_new_files(spark, tmp_path):
     q = progress.in_batches(progress.new_files(spark, str(box)), lambda df, n: seen.extend(r.name for r in df.collect()), str(tmp_path / "cp"))
     q.awaitTermination(60)
     assert seen == ["x.rom"]
+
+
+def test_events_and_errors(spark, tmp_path):
+    box = tmp_path / "in"
+    box.mkdir()
+    (box / "x.rom").write_bytes(b"abc")
+    events = progress.Events(spark)
+    q = progress.in_batches(progress.new_files(spark, str(box)), lambda df, n: df.count(), str(tmp_path / "cp"))
+    q.awaitTermination(60)
+    for _ in range(100):
+        if events.seen and events.seen[-1][0] == "completed":
+            break
+        time.sleep(0.1)
+    events.close()
+    assert events.seen[0][0] == "started" and events.seen[-1][0] == "completed"
+    errors = progress.Errors()
+    errors.add("scan", "critical", "gone")
+    assert errors.critical and errors.of("scan") == errors.of(severity="critical") and errors.text() == "[critical] scan: gone"
+    assert progress.cancellable(spark, "mine", lambda: spark.range(3).count()) == 3
