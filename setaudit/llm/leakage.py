@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from setaudit.session import spread
+from setaudit.session import cut, spread
 
 WORD = re.compile(r"[^\W_]+")
 BASE = 0x9E3779B97F4A7C15 | 1
@@ -169,10 +169,18 @@ def band_score(text: np.ndarray, item: np.ndarray, low: int, high: int, begin: i
     return best
 
 
+def repeats(joined: str, begin: int, end: int, shingles: set[tuple[str, ...]], run: int) -> bool:
+    """Whether the words that the stretch begin..end of a text touches hold one of the runs."""
+    begin = joined.rfind(" ", 0, max(0, begin) + 1) + 1
+    end = joined.find(" ", min(len(joined), end + 1))
+    w = joined[begin : end if end >= 0 else len(joined)].split(" ")
+    return any(tuple(w[i : i + run]) in shingles for i in range(len(w) - run + 1))
+
+
 def leaked(text: str | None, p: Passages, k: np.ndarray, least: np.ndarray, run: int, q: int) -> list[tuple[int, int, bool]]:
-    """(item, alignment score, whether a run of `run` words is repeated exactly) of each verified item text."""
-    w = words(text)
-    stream = points(" ".join(w))
+    """(item, alignment score, whether a run of `run` words is repeated exactly in an aligned stretch) of each verified item text."""
+    joined = " ".join(words(text))
+    stream = points(joined)
     item, at, place = hits(stream, p, q)
     if not len(item):
         return []
@@ -180,16 +188,14 @@ def leaked(text: str | None, p: Passages, k: np.ndarray, least: np.ndarray, run:
     keep = enough[item]
     if not keep.any():
         return []
-    score: dict[int, int] = {}
+    found: dict[int, tuple[int, bool]] = {}
     for who, low, high, begin, end in regions(item[keep], at[keep], place[keep], p, k, least, q):
-        enough_score = int(p.shortest[who])
-        if score.get(who, 0) < enough_score:
-            score[who] = max(score.get(who, 0), band_score(stream, p.streams[who], low, high, begin, end, enough_score))
-    verified = {who: s for who, s in score.items() if s >= p.shortest[who] - 2 * k[who]}
-    if not verified:
-        return []
-    mine = {tuple(w[i : i + run]) for i in range(len(w) - run + 1)}
-    return [(who, s, not p.shingles[who].isdisjoint(mine)) for who, s in verified.items()]
+        score, exact = found.get(who, (0, False))
+        if score < p.shortest[who] or not exact:
+            here = band_score(stream, p.streams[who], low, high, begin, end, int(p.shortest[who]))
+            if here >= p.shortest[who] - 2 * k[who]:
+                found[who] = max(score, here), exact or repeats(joined, begin + low, end + high, p.shingles[who], run)
+    return [(who, s, exact) for who, (s, exact) in found.items()]
 
 
 def leaks(
@@ -202,23 +208,20 @@ def leaks(
     some `run` successive words are repeated without any edit, `score` is the best alignment's, counted up to the length of the
     item's shortest stretch. Case and all that stands
     between words are disregarded. Null, empty and short texts on either side have no rows; a document row that is
-    repeated gives repeated rows; whole texts are searched. Item texts are sent to the executors in blocks of at most
-    `block_chars` characters (or one longer text), so their number is not bounded by memory.
+    repeated gives repeated rows; whole texts are searched. Item texts are split by hash into blocks of about
+    `block_chars` characters; the driver holds and sends one block at a time, and the texts are read once per block.
     """
     spark = documents.sparkSession
-    rows = [(r[0], i, r[1 + i]) for r in items.select(item_key, *parts).toLocalIterator() for i in range(len(parts)) if r[0] is not None and r[1 + i]]
-    blocks, size = [[]], 0
-    for r in rows:
-        if blocks[-1] and size + len(r[2]) > block_chars:
-            blocks.append([])
-            size = 0
-        blocks[-1].append(r)
-        size += len(r[2])
+    name = F.array(*(F.struct(F.lit(i).alias("part"), F.col(c).alias("text")) for i, c in enumerate(parts)))
+    texts = items.where(F.col(item_key).isNotNull()).select(F.col(item_key).alias("item"), F.explode(name).alias("p")).select("item", "p.part", "p.text").where(F.length("text") > 0)
+    total = texts.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first().n
+    n_blocks = max(1, -(-total // block_chars))
+    texts = cut(texts.withColumn("block", F.pmod(F.xxhash64("item", "part"), F.lit(n_blocks))))
     docs = spread(documents.select(F.col(key).alias("key"), F.col(text).alias("text")).where(F.length("text") > 0))
     kind = documents.schema[key].dataType.simpleString()
     out = None
-    for block in blocks:
-        shared = spark.sparkContext.broadcast(block)
+    for n in range(n_blocks):
+        shared = spark.sparkContext.broadcast([tuple(r) for r in texts.where(F.col("block") == n).select("item", "part", "text").distinct().collect()])
 
         def search(frames: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             block = shared.value

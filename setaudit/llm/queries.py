@@ -45,7 +45,7 @@ QUERIES = {f.__name__: f for f in (p2_found, p2_records, p3_found, p6_ids, p7_fo
 
 _GROUPS = """
 WITH r AS (
-  SELECT *, CASE WHEN regexp_matches(lower(trim(crc32)), '^(0x)?[0-9a-f]{1,8}$') THEN nullif(nullif(lpad(regexp_replace(lower(trim(crc32)), '^0x', ''), 8, '0'), '00000000'), 'ffffffff') END AS c,
+  SELECT *, CASE WHEN regexp_matches(lower(trim(crc32)), '^(0x)?[0-9a-f]{1,8}$') THEN nullif(lpad(regexp_replace(lower(trim(crc32)), '^0x', ''), 8, '0'), '00000000') END AS c,
          CASE WHEN regexp_matches(lower(trim(sha1)), '^[0-9a-f]{40}$') AND NOT regexp_matches(trim(sha1), '^0+$') THEN lower(trim(sha1)) END AS s,
          CASE WHEN last_modified > 0 AND last_modified <= epoch_us(indexed_at) / 1000000.0 THEN last_modified END AS lm,
          CASE location_type WHEN 'file' THEN 0 WHEN 'archive' THEN 1 WHEN 'remote' THEN 2 ELSE 3 END AS lr
@@ -67,7 +67,16 @@ f AS (
   UNION ALL SELECT group_id, 'location', inv_id FROM w WHERE n > 1 AND r_loc = 1)
 """
 
+# The runs of twelve words of every item text, looked up among those of every document.
+_RUNS = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
+i AS (SELECT item_id, regexp_extract_all(lower(t), '[\p{L}\p{N}]+') AS w FROM (SELECT item_id, passage AS t FROM eval_items UNION ALL SELECT item_id, question FROM eval_items) WHERE t IS NOT NULL),
+dr AS (SELECT doc_id, list_aggregate(w[k:k+11], 'string_agg', ' ') AS run FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS k FROM d WHERE len(w) >= 12)),
+ir AS (SELECT DISTINCT item_id, list_aggregate(w[k:k+11], 'string_agg', ' ') AS run FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS k FROM i WHERE len(w) >= 12))
+"""
+
 SQL = {
+    "p7_found": _RUNS + "SELECT DISTINCT doc_id, item_id FROM dr JOIN ir USING (run)",
     "p2_found": _GROUPS + "SELECT group_id, field, inv_id FROM f",
     "p2_records": _GROUPS
     + """

@@ -26,7 +26,7 @@ def bare(c: str) -> Column:
 def crc_value(c: str) -> Column:
     """The value of a crc32 however written: 0x in front, either case, leading zeros lost. Anything else, and 0: null."""
     hexa = F.regexp_extract(bare(c), "^(?:0x)?([0-9a-f]{1,8})h?$", 1)
-    return F.nullif(F.nullif(F.lpad(F.nullif(hexa, F.lit("")), 8, "0"), F.lit("00000000")), F.lit("ffffffff"))
+    return F.nullif(F.lpad(F.nullif(hexa, F.lit("")), 8, "0"), F.lit("00000000"))
 
 
 def complete_sha1(c: str) -> Column:
@@ -67,7 +67,8 @@ def survivors(inventory: DataFrame) -> DataFrame:
     agree with none in particular and form a group of their own. Columns not named here are not read.
     """
     made = candidates(inventory)
-    of_crc = Window.partitionBy("size", "crc")
+    # a candidate without a crc32 stands alone here, so contents known by sha1 only do not meet in one partition
+    of_crc = Window.partitionBy("size", "crc", F.when(F.col("crc").isNull(), F.col("sha")))
     known = F.count("sha").over(of_crc)
     sha = F.coalesce("sha", F.when(F.col("crc").isNotNull() & (known == 1), F.max("sha").over(of_crc)))
     keyed = made.withColumn("dump", F.coalesce(F.concat(F.lit("s"), sha), F.concat(F.lit("c"), F.col("crc"))))

@@ -115,15 +115,15 @@ class Encoder:
         if len(self.known) + len(fresh) > KEPT_PIECES:
             self.known.clear()
             fresh = {p for pieces in split for p in pieces}
-        known = self.known | (new := self.learn(sorted(fresh))) if fresh else self.known
+        known, new = self.known, self.learn(sorted(fresh)) if fresh else {}
         out = []
         for pieces in split:
             ids: list[int] = []
             for p in pieces:
-                ids += known[p]
+                ids += known[p] if p in known else new[p]
             out.append(ids)
-        if fresh:
-            self.known.update((p, ids) for p, ids in new.items() if len(p) <= KEPT_LENGTH)
+        if new:
+            known.update((p, ids) for p, ids in new.items() if len(p) <= KEPT_LENGTH)
         return out
 
 
