@@ -159,18 +159,22 @@ def places(schema: str, site: Site, kinds: tuple[Kind, ...], at: str = "$") -> l
     return found
 
 
-def _children(n: int, holder: Site, site: Site, path: str) -> Column:
-    """Rows for the objects of one list of a row. A row of a list between stands for the row of a kind that holds it."""
+def _children(kept: list[int], below: list[tuple[int, int, str, bool]]) -> Column:
+    """Rows for the objects of all lists of a row; `below` has (site of the row, site of the list, path, whether the list's parent
+    is one that counts places). A row of a list between stands for the row of a kind that holds it."""
     row = lambda c: F.col(f"row.{c}")
-    key, pos = (row("key"), row("pos")) if holder.kind else (row("parent_key"), row("parent_pos"))
-    if site.kind and not (holder.owner and site.kind in holder.owner.inner):
-        pos = F.lit(-1).cast("bigint")
+    is_kind = row("site").isin(kept) if kept else F.lit(False)
+    key, pos = F.when(is_kind, row("key")).otherwise(row("parent_key")), F.when(is_kind, row("pos")).otherwise(row("parent_pos"))
+    lists = lambda n: F.array(*(F.struct(F.lit(m).alias("site"), F.lit(path[1:] + "[").alias("path"), F.lit(placed).alias("placed"), F.try_variant_get(row("item"), path, "variant").alias("value")) for k, m, path, placed in below if k == n))
+    mine = F.coalesce(*(F.when(row("site") == n, lists(n)) for n in sorted({k for k, *_ in below})))
 
-    def one(x: Column, i: Column) -> Column:
-        mine = F.concat(row("key"), F.lit(path[1:] + "["), i.cast("string"), F.lit("]"))
-        return F.struct(F.lit(n).alias("site"), row("record_id").alias("record_id"), mine.alias("key"), key.alias("parent_key"), pos.alias("parent_pos"), i.cast("bigint").alias("pos"), x.alias("item"))
+    def one(of: Column) -> Column:
+        return F.transform(as_items(of["value"]), lambda x, i: F.struct(
+            of["site"].alias("site"), row("record_id").alias("record_id"), F.concat(row("key"), of["path"], i.cast("string"), F.lit("]")).alias("key"), key.alias("parent_key"),
+            F.when(of["placed"], pos).otherwise(F.lit(-1).cast("bigint")).alias("parent_pos"), i.cast("bigint").alias("pos"), x.alias("item"),
+        ))
 
-    return F.transform(as_items(F.try_variant_get(row("item"), path, "variant")), one)
+    return F.flatten(F.transform(mine, one))
 
 
 def flatten_records(df: DataFrame, record_id: str, payload: str, kinds: tuple[Kind, ...] = MACHINE_KINDS) -> DataFrame:
@@ -199,8 +203,9 @@ def flatten_records(df: DataFrame, record_id: str, payload: str, kinds: tuple[Ki
             break
         fresh = list(range(len(sites), len(sites) + len(below)))
         kept = [n for n, s in enumerate(sites) if s.kind]
+        placed = lambda n, site: site.kind is None or bool(sites[n].owner and site.kind in sites[n].owner.inner)
         lists = [F.when(F.col("row.site").isin(kept), F.array("row"))] if kept else []
-        lists += [F.when(F.col("row.site") == n, _children(m, sites[n], site, path)) for m, (n, path, site) in zip(fresh, below)]
+        lists.append(_children(kept, [(n, m, path, placed(n, site)) for m, (n, path, site) in zip(fresh, below)]))
         sites += [site for _, _, site in below]
         rows = rows.select(F.explode(F.flatten(F.array_compact(F.array(*lists)))).alias("row"))
     wanted = [n for n, s in enumerate(sites) if s.kind]
