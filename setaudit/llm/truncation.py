@@ -27,6 +27,7 @@ LOST = r"\x{FFFD}\s*$"
 STOPS = r"^([.!?。！？…)\]}\"”»*]|[^\p{L}\p{M}\p{N}\p{P}\s])"
 FULL = r"^[.!?。！？…]"
 OMISSION = r"(\s|\[(\.\.\.|…)\]|\((\.\.\.|…)\)|\.\.\.+|…|\x{FFFD}|[\\|¶\x00-\x1f])+$"
+MAY_OMIT = r"[\s\])…\x{FFFD}\\|¶\x00-\x1f]"
 TOKEN = r"\n+|\p{IsLatin}[\p{IsLatin}\p{M}'’]*|\p{IsCyrillic}+|[\p{L}\p{M}&&[^\p{IsLatin}\p{IsCyrillic}]]+|\p{N}+|[^\s\p{L}\p{M}\p{N}]"
 WIDE = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}]"
 SUM = r"(?<![\p{L}\p{N}])((?=[0-9a-fA-F]*[0-9])[0-9a-fA-F]{8}(?![\p{L}\p{N}])|(?=[0-9]*[a-fA-F])(?=[a-fA-F]*[0-9])[0-9a-fA-F]{2,7}$)"
@@ -40,7 +41,8 @@ def _q(x: str) -> str:
 # comparisons spare the patterns for the rest.
 SHAPED = f"""
 WITH d AS (
-  SELECT id, source, n, md5(text) AS same, contains(text, '\\ufffd') AND regexp_like(text, {_q(LOST)}) AS broken, regexp_replace(text, {_q(OMISSION)}, '') AS body FROM texts WHERE text IS NOT NULL),
+  SELECT id, source, n, md5(text) AS same, contains(text, '\\ufffd') AND regexp_like(text, {_q(LOST)}) AS broken, 
+         CASE WHEN right(text, 1) RLIKE {_q(MAY_OMIT)} OR right(text, 3) = '...' THEN regexp_replace(text, {_q(OMISSION)}, '') ELSE text END AS body FROM texts WHERE text IS NOT NULL),
 -- a lateral view, so the words are made once for all that asks about them
 short AS (
   SELECT * FROM d LATERAL VIEW explode(array(concat(array('^', '^'),
@@ -57,10 +59,10 @@ SELECT id, source, n, same, broken, body, w, transform(w, (x, i) -> CASE
 SPOTS = f"""
 WITH g AS (
   SELECT explode(transform(sequence(0, size(t) - 3), i -> struct(
-      xxhash64(t[i], t[i + 1], t[i + 2]) AS three, xxhash64(t[i + 1], t[i + 2]) AS pair, xxhash64(t[i], t[i + 1]) AS two, w[i + 2] AS word,
+      xxhash64(p[i], t[i + 2]) AS three, p[i + 1] AS pair, p[i] AS two, w[i + 2] AS word,
       CASE WHEN i = size(t) - 3 THEN struct(id, source, n, same, broken, t[i + 2] AS shape, size(t) > 9 OR char_length(regexp_replace(trim(body), {_q(WIDE)}, 'xx')) >= 24 AS long) END AS f,
       CASE WHEN i < size(t) - 3 THEN int(CASE WHEN (t[i + 3] >= 'a' AND t[i + 3] < '{{') OR (t[i + 3] >= 'A' AND t[i + 3] < '[') THEN false ELSE t[i + 3] = '/' OR t[i + 3] RLIKE {_q(STOPS)} END) END AS ends))) AS g
-  FROM shaped)
+  FROM shaped LATERAL VIEW explode(array(transform(sequence(0, size(t) - 2), i -> xxhash64(t[i], t[i + 1])))) made AS p)
 SELECT g.three, g.pair, g.two, g.word, g.f, count(*) AS inside, sum(g.ends) AS ends FROM g GROUP BY g.three, g.pair, g.two, g.word, g.f
 """
 
