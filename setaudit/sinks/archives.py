@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from setaudit.sources.files import open_path, wanted_entry, with_content
+from setaudit.sources.files import located, open_path, wanted_entry, with_content
 
 # What a canonical archive fixes, so equal contents give equal bytes.
 FIXED_TIME = (1996, 12, 24, 23, 32, 0)
@@ -90,7 +90,7 @@ def write_files(rows: DataFrame, name: str, folder: str, suffix: str = "") -> Da
             out = []
             for key, content in zip(pdf[name], pdf["content"]):
                 path = f"{folder.rstrip('/')}/{key}{suffix}"
-                system, inner = fs.FileSystem.from_uri(path) if ":" in path.split("/")[0] else (fs.LocalFileSystem(), path)
+                system, inner = located(path)
                 try:
                     if ".." in str(key).split("/"):
                         raise OSError("leaves the folder")

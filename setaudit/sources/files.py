@@ -36,11 +36,23 @@ HASHES = "crc32 string, md5 string, sha1 string, sha256 string"
 ENTRY = "path string, entry string, size bigint, crc32 string, last_modified bigint, error string"
 
 
-def open_path(path: str) -> BinaryIO:
-    """A seekable stream of a path of any file system that Arrow knows; a bare path is a local one."""
+def located(path: str) -> tuple[Any, str]:
+    """The Arrow file system of a path, and the path in it. Paths are as Spark lists them, with blanks and all; bare ones are local."""
+    from urllib.parse import quote
+
     from pyarrow import fs
 
-    system, inner = fs.FileSystem.from_uri(path) if ":" in path.split("/")[0] else (fs.LocalFileSystem(), path)
+    scheme = path.split("/")[0]
+    if ":" not in scheme:
+        return fs.LocalFileSystem(), path
+    if scheme == "file:":
+        return fs.LocalFileSystem(), "/" + path[5:].lstrip("/")
+    return fs.FileSystem.from_uri(quote(path, safe="/:@[]?=&"))
+
+
+def open_path(path: str) -> BinaryIO:
+    """A seekable stream of a path of any file system that Arrow knows."""
+    system, inner = located(path)
     return system.open_input_file(inner)
 
 

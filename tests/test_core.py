@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from setaudit.functions import checksums, names
+from setaudit.kit import Kit, main
 from setaudit.operators import audit, graph, nested, rebuild, reconcile, reports, search, snapshots
 from setaudit.plans import catalogue
 from setaudit.sinks import archives, documents
@@ -400,3 +401,46 @@ def test_events_and_errors(spark, tmp_path):
     errors.add("scan", "critical", "gone")
     assert errors.critical and errors.of("scan") == errors.of(severity="critical") and errors.text() == "[critical] scan: gone"
     assert progress.cancellable(spark, "mine", lambda: spark.range(3).count()) == 3
+
+
+def test_kit_and_commands(spark, tmp_path, capsys):
+    box, out, store = tmp_path / "roms", tmp_path / "out", str(tmp_path / "index")
+    box.mkdir()
+    (box / "a.rom").write_bytes(b"TestData")
+    (box / "Other (USA).rom").write_bytes(b"zz")
+    (box / "clone.zip").write_bytes(archives.packed([("c.rom", b"clone")]))
+    crc = lambda b: f"{zlib.crc32(b):08x}"
+    dat = tmp_path / "c.xml"
+    dat.write_text(
+        f'<?xml version="1.0"?><datafile><header><name>C</name></header><game name="main"><description>M</description><rom name="a.rom" size="8" crc="{crc(b"TestData")}"/></game>'
+        f'<game name="clone" cloneof="main" romof="main"><description>K</description><rom name="c.rom" size="5" crc="{crc(b"clone")}"/><rom name="a.rom" merge="a.rom" size="8" crc="{crc(b"TestData")}"/></game>'
+        '<game name="lost"><description>L</description><rom name="x" size="1" crc="00000001"/></game></datafile>'
+    )
+    kit = Kit(spark, store)
+    assert {r.set_name: r.status for r in kit.analyze(str(dat), str(box)).collect()} == {"main": "complete", "clone": "complete", "lost": "missing"}
+    assert {r.set_name: r.status for r in kit.analyze(str(dat), str(box), "direct").collect()} == {"main": "missing", "clone": "incomplete", "lost": "missing"}
+    assert kit.rebuild(str(dat), str(out), str(box)).count() == 2
+    assert {r.action for r in kit.rebuild(str(dat), str(out), str(box), "non_merged", apply=True).collect()} == {"written"}
+    with zipfile.ZipFile(out / "clone.zip") as z:
+        assert sorted(z.namelist()) == ["a.rom", "c.rom"]
+    assert kit.rebuild(str(dat), str(out), str(box), "non_merged", update=True).count() == 0
+    run = lambda *a: main(["--index", store, *map(str, a)], spark)
+    for command in (("index", "add", box), ("index", "list"), ("index", "stats"), ("index", "verify"), ("index", "find", "a.rom"), ("stats", dat), ("scan", box), ("verify", box), ("export", dat, tmp_path / "csv"), ("fixdat", dat, tmp_path / "fix.xml"), ("missing", dat, tmp_path / "m.html"), ("analyze", dat, "--out", tmp_path / "an"), ("consolidate", tmp_path / "all", "--apply"), ("organize", dat, box, tmp_path / "sorted"), ("rename", box, "--apply")):
+        assert run(*command) == 0
+    assert "lost" in (tmp_path / "fix.xml").read_text() and "lost" in (tmp_path / "m.html").read_text() and '"rom_count": 3' in capsys.readouterr().out
+    assert sorted(p.name for p in (tmp_path / "all").iterdir() if p.suffix == ".rom") == ["Other (USA).rom", "a.rom", "c.rom"] and (box / "Other.rom").exists()
+    assert run("index", "remove", box) == 0 and kit.stored().count() == 0
+
+
+def test_progress_of_a_stream_with_late_events(spark, tmp_path):
+    schema = "event_id bigint, ts timestamp, event_type string, value double"
+    at = lambda h: datetime(2024, 1, 1, h)
+    for i, rows in enumerate([[(1, at(1), "a", 1.0), (2, at(6), "a", 2.0)], [(3, at(5), "a", 3.0), (4, at(1), "a", 9.0)], [(5, at(20), "b", 1.0)]]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / f"in/{i}"))
+        time.sleep(1.1)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/*"))
+    q = progress.progress(stream).writeStream.format("memory").queryName("late_events").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    got = {(r.start.hour, r.event_type): (r.n, r.total) for r in spark.table("late_events").collect()}
+    # the event of hour 5 is late within the watermark and counts, the second one of hour 1 is later and does not
+    assert got == {(1, "a"): (1, 1.0), (5, "a"): (1, 3.0), (6, "a"): (1, 2.0)}
