@@ -32,15 +32,21 @@ def words(text: str | None) -> list[str]:
 
 
 def gram_codes(stream: np.ndarray, q: int) -> np.ndarray:
-    """A 64-bit code of the q-gram that begins at each place."""
+    """A 64-bit code of the q-gram that begins at each place: codes of short grams are put together to those of longer ones."""
     n = len(stream) - q + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    x = stream.astype(np.uint64)
-    code = np.zeros(n, np.uint64)
     with np.errstate(over="ignore"):
-        for i in range(q):
-            code = code * np.uint64(BASE) + x[i : i + n]
+        power, size, part = np.uint64(BASE), 1, stream.astype(np.uint64)
+        code, done, left = None, 0, q
+        while left:
+            if left & 1:
+                code, done = (part, size) if code is None else (code[: len(stream) - done - size + 1] * power + part[done : len(stream) - size + 1], done + size)
+            left >>= 1
+            if left:
+                part = part[: len(part) - size] * power + part[size:]
+                power, size = power * power, size * 2
+        code = code[:n].copy()
         code ^= code >> np.uint64(29)
         return code * np.uint64(BASE)
 
@@ -119,7 +125,8 @@ def regions(item: np.ndarray, at: np.ndarray, place: np.ndarray, p: Passages, k:
         band = (at - place + shift * step) // (2 * step)
         low = band.min()
         n_bands, n_places = int(band.max() - low) + 1, int(place.max()) + 1
-        packed = np.unique((item * n_bands + (band - low)) * n_places + place)
+        packed = np.sort((item * n_bands + (band - low)) * n_places + place)
+        packed = packed[np.append(True, packed[1:] != packed[:-1])]
         name, where = packed // n_places, packed % n_places
         who = name // n_bands
         last = np.arange(len(packed)) + least[who] - 1
