@@ -5,7 +5,8 @@ misspellings and abbreviations are common. The telling words of a spelling becom
 by how rare they are, and a sparse join finds the pairs whose cosine reaches a threshold: n-grams are taken rarest first,
 and only as many as are needed for no pair above the threshold to be missed (prefix filter) are joined. An exact check
 follows: telling words must agree up to one edit, and what else the names hold must not contradict. The links split the
-spellings into components, and each component is grouped by average-linkage clustering of the cosines.
+spellings into components, and each component is grouped by average-linkage clustering of the cosines: by one task, or, if
+it is large, in rounds over the cluster.
 """
 
 from __future__ import annotations
@@ -226,10 +227,10 @@ def best_links(links: DataFrame, top_n: int) -> DataFrame:
     The bound takes nothing from the components, which strong links alone make; of the evidence inside a component it takes
     what lies beyond a reading's `top_n` nearest.
     """
-    ends = links.where("NOT strong").select("a", "b", "sim", F.explode(F.array("a", "b")).alias("of"))
+    ends = links.where("NOT strong").withColumn("of", F.explode(F.array("a", "b")))
     rank = F.row_number().over(Window.partitionBy("of").orderBy(F.desc(F.abs("sim")), "a", "b"))
-    weak = ends.withColumn("r", rank).where(F.col("r") <= top_n).select("a", "b", "sim").distinct()
-    return links.where("strong").unionByName(weak.withColumn("strong", F.lit(False)))
+    weak = ends.withColumn("r", rank).where(F.col("r") <= top_n).drop("of", "r").distinct()
+    return links.where("strong").unionByName(weak)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -282,14 +283,37 @@ def average_linkage(a: np.ndarray, b: np.ndarray, sim: np.ndarray, least: float)
     return out
 
 
-def same_names(df: DataFrame, column: str, link: float = 0.22, least: float = 0.2, spellings: int = 13, share: float = 0.002, top_n: int = 64) -> DataFrame:
+def linkage_rounds(links: DataFrame, least: float) -> DataFrame:
+    """(id, cluster) as `average_linkage` gives them, for members of any number: in each round every two clusters that are each
+    other's best are joined. The mean of a joined cluster to a third is never above the better of its parts', so pairs that
+    are each other's best stay so, and joining them at once gives the clusters that joining the best pair first gives."""
+    sums = cut(links.select(F.col("a").alias("x"), F.col("b").alias("y"), F.col("sim").alias("s")))
+    member = cut(sums.select(F.explode(F.array("x", "y")).alias("id")).distinct().select("id", F.col("id").alias("cluster")))
+    for n in itertools.count(1):
+        size = member.groupBy("cluster").agg(F.count("*").alias("size"))
+        of = lambda c: size.select(F.col("cluster").alias(c), F.col("size").alias(f"size_{c}"))
+        mean = sums.join(of("x"), "x").join(of("y"), "y").select("x", "y", (F.col("s") / (F.col("size_x") * F.col("size_y"))).alias("m")).where(F.col("m") >= least)
+        choice = mean.select(F.explode(F.array("x", "y")).alias("of"), F.struct((-F.col("m")).alias("m"), "x", "y").alias("pair")).groupBy("of").agg(F.min("pair").alias("pair"))
+        joined = cut(choice.groupBy("pair.x", "pair.y").agg(F.count("*").alias("k")).where("k = 2").select("x", "y"))
+        if joined.isEmpty():
+            return member
+        goes = lambda c: joined.select(F.col("y").alias(c), F.col("x").alias(f"to_{c}"))
+        member = cut(member.join(goes("cluster"), "cluster", "left").select("id", F.coalesce("to_cluster", "cluster").alias("cluster")))
+        moved = sums.join(goes("x"), "x", "left").join(goes("y"), "y", "left").select(F.coalesce("to_x", "x").alias("x"), F.coalesce("to_y", "y").alias("y"), "s")
+        sums = cut(moved.where("x <> y").groupBy(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).agg(F.sum("s").alias("s")))
+        if n % 8 == 0:
+            member, sums = unsized(member), unsized(sums)
+
+
+def same_names(df: DataFrame, column: str, link: float = 0.22, least: float = 0.2, spellings: int = 13, share: float = 0.002, top_n: int = 64, in_one: int = 20_000) -> DataFrame:
     """(a, b): each pair of distinct spellings of `column` that name the same company or person, the smaller by bytes first.
 
     Null, empty and blank values and entries that name nobody have no pairs. Spellings are exact strings: such that
     differ only in case or blanks are pairs. `link` is the cosine from which pairs are looked at, `least` the mean
     cosine down to which clusters are joined; a pair that contradicts itself counts -1. Words of at least `spellings` names
     and of a `share` of all are common if they stand beside many different words. `top_n` bounds the weaker evidence taken
-    for a spelling, never its links. Spellings of equal reading are one vector, so the join depends on the distinct readings.
+    for a spelling, never its links. Components of more than `in_one` readings are clustered in rounds over the cluster, smaller
+    ones each by one task; the clusters are the same. Spellings of equal reading are one vector, so the join depends on the distinct readings.
     """
     names = df.select(F.col(column).alias("name")).where(F.col("name").rlike(r"\S")).distinct()
     worded = cut(read_as(names))
@@ -308,8 +332,12 @@ def same_names(df: DataFrame, column: str, link: float = 0.22, least: float = 0.
         found = average_linkage(pdf["a"].to_numpy(), pdf["b"].to_numpy(), pdf["sim"].to_numpy(), least)
         return pd.DataFrame({"id": found.keys(), "cluster": found.values()}, dtype="int64")
 
-    ends = best_links(links, top_n).join(label.withColumnRenamed("id", "a"), "a").join(label.toDF("b", "other"), "b").where("component = other")
-    clusters = ends.groupBy("component").applyInPandas(group, "id bigint, cluster bigint")
+    within = links.join(label.withColumnRenamed("id", "a"), "a").join(label.toDF("b", "other"), "b").where("component = other").drop("other")
+    evidence = best_links(within, top_n)
+    large = cut(label.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") > in_one).select("component"))
+    clusters = evidence.join(large, "component", "left_anti").groupBy("component").applyInPandas(group, "id bigint, cluster bigint")
+    if not large.isEmpty():
+        clusters = clusters.unionByName(linkage_rounds(evidence.join(large, "component", "left_semi"), least))
     placed = nodes.join(clusters, "id", "left").select("telling", "others", F.coalesce("cluster", "id").alias("cluster"))
     named = cut(read.join(placed, ["telling", "others"]).select("name", "cluster"))
     other = named.select("cluster", F.col("name").alias("b"))

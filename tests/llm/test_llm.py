@@ -145,6 +145,20 @@ def test_spellings_that_contradict(spark):
     assert pairs == {(a, b) for g in groups for a in g for b in g if a < b}
 
 
+def test_linkage_in_rounds_equals_one_task(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    pairs = sorted({(int(min(x)), int(max(x))) for x in rng.integers(0, 60, (260, 2)) if x[0] != x[1]})
+    sims = rng.choice([-1.0, *np.round(rng.random(40), 3)], len(pairs))
+    one = spellings.average_linkage(np.array([p[0] for p in pairs]), np.array([p[1] for p in pairs]), sims, 0.3)
+    df = spark.createDataFrame([(a, b, float(s)) for (a, b), s in zip(pairs, sims)], "a bigint, b bigint, sim double")
+    assert {r.id: r.cluster for r in spellings.linkage_rounds(df, 0.3).collect()} == one
+    names = [n for n in NAMES if n]
+    df = spark.createDataFrame([(n,) for n in names], "manufacturer string")
+    assert sorted(spellings.same_names(df, "manufacturer", in_one=1).collect()) == sorted(spellings.same_names(df, "manufacturer").collect())
+
+
 def test_one_edit_and_common_words():
     assert all(spellings.one_edit("kogyo", x) for x in ("kogyo", "kogy", "ogyo", "koggyo", "kigyo", "koygo")) and not any(spellings.one_edit("kogyo", x) for x in ("kgoy", "kogyoxx", "okgoy"))
     common = spellings.Common(["publishing", "manufacturing", "gavrentin"])
