@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from setaudit.functions import names
+from setaudit.functions import checksums, names
 from setaudit.operators import audit, graph, rebuild, reports, search
 from setaudit.session import table
 from setaudit.sinks import documents
@@ -511,7 +511,7 @@ def formatted_sizes(t: Tables) -> DataFrame:
 
 @query("SELECT doc_id, md5(text) AS md5, sha1(text) AS sha1, sha256(text) AS sha256 FROM documents", base=False)
 def content_hashes(t: Tables) -> DataFrame:
-    return t.raw("documents").select("doc_id", F.md5("text").alias("md5"), F.sha1("text").alias("sha1"), F.sha2("text", 256).alias("sha256"))
+    return t.raw("documents").select("doc_id", checksums.all_hashes("text").alias("h")).select("doc_id", "h.md5", "h.sha1", "h.sha256")
 
 
 @query("SELECT inv_id, CASE WHEN location_type = 'archive' AND location_entry IS NOT NULL THEN location_path || '#' || location_entry ELSE location_path END AS place, lower(regexp_extract(regexp_extract(name, '[^/]*$'), '\\.([^.]+)$', 1)) AS ext FROM inv")
